@@ -33,7 +33,7 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 class Shingler:
     """Sorted distinct n-gram hashes of texts; words are hashed once while they stay in the table."""
 
-    def __init__(self, words: int, max_words: int = 500_000) -> None:
+    def __init__(self, words: int, max_words: int = 200_000) -> None:
         self.words, self.max_words = words, max_words
         self.known: dict[bytes, int] = {}
 
@@ -180,13 +180,64 @@ def _fits(percent: int) -> F.Column:
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1 >= need)
 
 
+def _close(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of bitmaps leave it open whether the sets are similar enough."""
+    apart = np.fromiter(map(differences, a, b), np.int64, len(a))
+    return apart * (100 + percent) <= (100 - percent) * (n_a + n_b)
+
+
 def _similar_maps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, n_a, n_b = (c.to_pylist() for c in batch.columns[2:6])
-        keep = [100 * differences(x, y) * (100 + percent) <= 100 * (100 - percent) * (p + q) for x, y, p, q in zip(a, b, n_a, n_b)]
+        keep = _close(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
+GROUP = 4096  # posts of one n-gram that meet in one task
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Posts sorted by (gram, i, j) -> pairs that pass all filters and are not in one component; a group is at most two
+    chunks of `GROUP` posts or so, and what it holds are bitmaps."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        gram, i, j = rows[0][:3]
+        side = np.array([r[3] for r in rows])
+        doc, n, pos, label = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
+        maps = [r[8] for r in rows]
+        left = np.flatnonzero(side == 0)
+        right = left if i == j else np.flatnonzero(side == 1)
+        found = []
+        for x in left.tolist():
+            y = right[(label[right] != label[x]) & ((doc[right] > doc[x]) if i == j else True)]
+            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            need = -(-percent * (n[y] + n[x]) // (100 + percent))
+            y = y[np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need]
+            if len(y):
+                y = y[_close([maps[x]] * len(y), [maps[k] for k in y.tolist()], n[x], n[y], percent)]
+                found += [(min(doc[x], d), max(doc[x], d)) for d in doc[y].tolist()]
+        return found
+
+    held: list[tuple] = []
+    seen: set[tuple[int, int]] = set()  # pairs that this task has let out; only saves rows
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        new = {p for p in found if p not in seen}
+        if len(seen) < 500_000:
+            seen.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:3] != held[0][:3]:
+                found += pairs(held)
+                held = []
+            held.append(row)
+        yield batch_of(found)
+    if held:
+        yield batch_of(pairs(held))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     sets = shingler(words)
     unpack = zstandard.ZstdDecompressor().decompress
@@ -227,12 +278,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     named = materialize(posts.join(nodes.select("node", "doc_id"), "node").select("gram", "doc_id", "n", "pos"), "named_posts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct candidate pairs (a, b), a < b."""
-        facts = nodes.select("doc_id", "bitmap", "n")
-        mapped = pairs.join(facts.toDF("a", "map_a", "n_a"), "a").join(facts.toDF("b", "map_b", "n_b"), "b").select("a", "b", "map_a", "map_b", "n_a", "n_b")
-        near = materialize(mapped.mapInArrow(lambda b: _similar_maps(b, percent), "a long, b long"), f"{name}_candidates")
+        """Links among distinct candidate pairs (a, b), a < b, whose bitmaps are close."""
+        near = materialize(pairs, f"{name}_candidates")
         wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        packed = materialize(map_text(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _pack_texts, "doc_id long, packed binary"), f"{name}_texts")
+        # packed before the shuffle; a merge join at any size, as both sides grow with the corpus
+        packed = materialize(map_text(texts, _pack_texts, "doc_id long, packed binary").hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}_texts")
         both = near.join(packed.toDF("b", "text_b"), "b").join(packed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"), f"{name}_links")
 
@@ -240,17 +290,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     pivots = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc_id").alias("h"), "doc_id", "n", "pos")).alias("p"))
     met = named.join(pivots, "gram").select("doc_id", F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("p.doc_id").alias("other"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"))
     pairs = met.where((F.col("doc_id") != F.col("other")) & _fits(percent)).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    pairs = materialize(pairs, "first_pairs")
-    first = verified(pairs, "first")
+    facts = nodes.select("doc_id", "bitmap", "n")
+    mapped = pairs.join(facts.toDF("a", "map_a", "n_a"), "a").join(facts.toDF("b", "map_b", "n_b"), "b").select("a", "b", "map_a", "map_b", "n_a", "n_b")
+    first = verified(mapped.mapInArrow(lambda b: _similar_maps(b, percent), "a long, b long"), "first")
     label = components(first, "first_components")
-    # second round: what is still apart within an n-gram
+    # second round: what is still apart within an n-gram; large groups meet by chunks
     labelled = named.join(label, named["doc_id"] == label["id"], "left").select("gram", "doc_id", "n", "pos", F.coalesce("component_id", "doc_id").alias("label"))
-    apart = labelled.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gram")
-    rest = materialize(labelled.join(apart, "gram"), "posts_apart")
-    left = rest.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("label").alias("label_a"))
-    right = rest.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("label").alias("label_b"))
-    more = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _fits(percent)).select("a", "b").distinct()
-    second = verified(more.join(pairs, ["a", "b"], "left_anti"), "second")
+    apart = labelled.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / GROUP).cast("int").alias("k")).where("l0 <> l1").select("gram", "k")
+    own_chunk = F.pmod(F.xxhash64("doc_id"), F.col("k").cast("long")).cast("int")
+    rest = labelled.join(apart, "gram").join(nodes.select("doc_id", "bitmap"), "doc_id").withColumn("c", own_chunk)
+    meetings = F.expr("transform(sequence(0, k - 1), x -> struct(least(c, x) as i, greatest(c, x) as j, if(x < c, 1, 0) as side))")
+    rest = rest.select("gram", F.explode(meetings).alias("m"), "doc_id", "n", "pos", "label", "bitmap").select("gram", "m.i", "m.j", "m.side", "doc_id", "n", "pos", "label", "bitmap")
+    more = rest.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(lambda b: _meet(b, percent), "a long, b long").distinct()
+    second = verified(more.join(first, ["a", "b"], "left_anti"), "second")
     links = components(first.union(second), "ngram_components")
     by_node = nodes.join(links, nodes["doc_id"] == links["id"], "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return own.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
