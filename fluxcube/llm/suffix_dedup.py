@@ -30,7 +30,8 @@ from fluxcube.llm.common import binary_values, map_text, materialize, mix64, tex
 
 GRAM = 16
 CHUNK = 1 << 21  # bytes of text in one numpy step
-BLOCK = 1 << 21  # bytes of runs in one transform
+BLOCK = 1 << 19  # bytes of runs in one transform
+PART = 23  # windows that are looked at together before a run enters a block
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -57,11 +58,12 @@ def _sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
-    """`(doc, start, n_win, h)` of the runs of the texts that lie end to end in `data`; start counts within its text."""
+    """`(doc, start, n_win, anchor, h)` of the runs of the texts that lie end to end in `data`; start counts within its text,
+    anchor (the minimizer's place) within the run."""
     lengths = np.diff(offsets)
     n = len(data)
     if n < min_len:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
     words = _words(data)
     later = np.zeros_like(words)
     later[:-8] = words[8:]
@@ -78,26 +80,36 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.nda
     keep = valid[heads]
     heads, ends = heads[keep], ends[keep]
     doc = owner[heads]
-    return doc, heads - offsets[doc], ends - heads, hashes[best[heads]].view(np.int64)
+    return doc, heads - offsets[doc], ends - heads, best[heads] - heads, hashes[best[heads]].view(np.int64)
+
+
+def _order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorting order of keys below 2^bits, and the sorted keys; place and key are sorted as one number where that fits."""
+    n = len(keys)
+    low = n.bit_length()
+    if bits + low <= 64:
+        packed = np.sort(keys << np.uint64(low) | np.arange(n, dtype=np.uint64))
+        return (packed & np.uint64((1 << low) - 1)).astype(np.int64), packed >> np.uint64(low)
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of `data` in the order of the `depth` or more symbols from there; equal ones in any order."""
     n = len(data)
-    keys = _words(data)
-    order = np.argsort(keys)
-    have = 8
-    ranks = np.empty(n, np.int64)
+    order, ranked = _order(_words(data) >> np.uint64(24), 40)
+    have = 5
+    bits = n.bit_length()
+    ranks = np.empty(n, np.uint64)
     while True:
-        ranked = keys[order]
-        steps = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
+        steps = np.zeros(n, np.uint64)
+        np.cumsum(ranked[1:] != ranked[:-1], out=steps[1:])
         ranks[order] = steps
         if have >= depth or steps[-1] == n - 1:
             return order
-        follow = np.zeros(n, np.int64)
-        follow[: max(0, n - have)] = ranks[have:] + 1
-        keys = ranks * np.int64(n + 1) + follow
-        order = np.argsort(keys)
+        keys = ranks << np.uint64(bits)
+        keys[: max(0, n - have)] |= ranks[have:] + np.uint64(1)
+        order, ranked = _order(keys, 2 * bits)
         have *= 2
 
 
@@ -125,9 +137,9 @@ def repeated_starts(data: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndar
     keep_out = order[rows] > 0
     rows, group = rows[keep_out], group[keep_out]
     while level < min_len and len(rows):
-        image = before[rows]
-        sort = np.argsort(image)
-        image, came = image[sort], group[sort]
+        # the images of all rows in order, each with the number of the interval it came from
+        packed = np.sort(before[rows] << np.int64(32) | group)
+        image, came = packed >> np.int64(32), packed & np.int64(0xFFFFFFFF)
         symbol = first[image]
         joint = np.zeros(len(image) + 1, bool)
         joint[1:-1] = (image[1:] == image[:-1] + 1) & (came[1:] == came[:-1]) & (symbol[1:] == symbol[:-1])
@@ -155,14 +167,14 @@ def find_runs(docs: DataFrame, min_len: int) -> DataFrame:
             while at < len(ids):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
                 part, where = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-                doc, start, n_win, h = runs_of(part, where, min_len)
+                doc, start, n_win, anchor, h = runs_of(part, where, min_len)
                 begins = where[doc] + start
                 blob = part.tobytes()
                 fp = [xxhash.xxh3_64_intdigest(blob[b:e]) for b, e in zip(begins.tolist(), (begins + n_win + (min_len - 1)).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(ids[at:to][doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n_win.astype(np.int32))], ["h", "fp", "doc_id", "start", "n_win"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(ids[at:to][doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(anchor.astype(np.int32))], ["h", "fp", "doc_id", "start", "n_win", "anchor"])
                 at = to
 
-    return map_text(text_frame(docs, "doc_id"), step, "h long, fp long, doc_id long, start int, n_win int")
+    return map_text(text_frame(docs, "doc_id"), step, "h long, fp long, doc_id long, start int, n_win int, anchor int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -183,56 +195,95 @@ def _unpack(frame: bytes) -> bytes:
 def _fetch(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.RecordBatch]:
     """Rows (packed, list of (h, blk, fp, start, n_win)) -> the runs with their bytes."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = _unpack(packed)
             for w in wanted:
-                for column, x in zip(out, (w["h"], w["blk"], w["fp"], text[w["start"] : w["start"] + w["n_win"] + min_len - 1])):
+                for column, x in zip(out, (w["h"], w["blk"], w["fp"], w["anchor"], text[w["start"] : w["start"] + w["n_win"] + min_len - 1])):
                     column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["h", "blk", "fp", "run"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["h", "blk", "fp", "anchor", "run"])
+
+
+def _promising(rows: list[tuple[int, int, int, int, bytes]], min_len: int) -> list[list[tuple[int, int]]]:
+    """Of each run the ranges of windows that may repeat within the rows.
+
+    Windows of one minimizer are grouped by its place in them, `PART` places together. All windows of such a part share
+    all but `PART - 1` of their bytes, at a fixed distance from the minimizer; equal windows are equal there. A part
+    whose shared bytes no other run of that minimizer has drops out. Minimizers dealt over blocks keep all windows.
+    """
+    core = min_len - PART + 1
+    keys: list[list[tuple[int, int, tuple]]] = []
+    times: dict[tuple, int] = {}
+    for h, blk, _, anchor, run in rows:
+        n_win = len(run) - min_len + 1
+        own = []
+        if blk < 0:
+            for part in range((anchor - n_win + 1) // PART, anchor // PART + 1):
+                begin = anchor - part * PART
+                key = (h, part, xxhash.xxh3_64_intdigest(run[begin : begin + core]))
+                times[key] = times.get(key, 0) + 1
+                own.append((max(0, begin - PART + 1), min(n_win, begin + 1), key))
+        keys.append(own)
+    out = []
+    for (_, blk, _, _, run), own in zip(rows, keys):
+        ranges = [(0, len(run) - min_len + 1)] if blk >= 0 else sorted((b, e) for b, e, k in own if times[k] > 1)
+        joint: list[tuple[int, int]] = []
+        for b, e in ranges:
+            if joint and joint[-1][1] >= b:
+                joint[-1] = (joint[-1][0], e)
+            else:
+                joint.append((b, e))
+        out.append(joint)
+    return out
 
 
 def _expand(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.RecordBatch]:
     """Runs sorted by (h, blk) -> per run the windows that repeat in its block, as starts and ends within the run; for
     minimizers that are dealt over blocks also the hash of each window that may repeat elsewhere."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
 
     def work() -> pa.RecordBatch:
-        lens = np.array([len(x[3]) for x in held])
-        data = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
-        klass, sizes = repeated_starts(data, min_len)
-        begin = np.concatenate(([0], np.cumsum(lens)))
-        inside = np.zeros(len(data), bool)
-        for b, e in zip(begin[:-1].tolist(), (begin[1:] - min_len + 1).tolist()):
-            inside[b:e] = True
-        counts = np.bincount(klass[inside], minlength=len(sizes))
-        hit = inside & (counts[klass] > 1)
+        pieces = [(k, b, e) for k, ranges in enumerate(_promising(held, min_len)) for b, e in ranges]
+        flags = [np.zeros(len(r[4]) - min_len + 1, np.int8) for r in held]
+        numbers: dict[int, np.ndarray] = {}
+        if pieces:
+            data = np.frombuffer(b"".join(held[k][4][b : e + min_len - 1] for k, b, e in pieces), np.uint8)
+            klass, sizes = repeated_starts(data, min_len)
+            places = np.cumsum([0] + [e - b + min_len - 1 for _, b, e in pieces])[:-1].tolist()
+            inside = np.zeros(len(data), bool)
+            for at, (_, b, e) in zip(places, pieces):
+                inside[at : at + e - b] = True
+            counts = np.bincount(klass[inside], minlength=len(sizes))
+            hit = inside & (counts[klass] > 1)
+            for at, (k, b, e) in zip(places, pieces):
+                flags[k][b:e] = hit[at : at + e - b]
+                if held[k][1] >= 0:
+                    numbers[k] = klass[at : at + e - b]
         cols: list[list] = [[], [], [], [], []]
         seen: dict[tuple[int, int], set[int]] = {}
-        for (h, blk, fp, run), b in zip(held, begin[:-1].tolist()):
-            n_win = len(run) - min_len + 1
-            flags = hit[b : b + n_win]
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+        for k, (h, blk, fp, _, run) in enumerate(held):
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags[k], [0]))))
             marks: list[bytes] = []
             if blk >= 0:
                 own = seen.setdefault((h, blk), set())
-                for i, k in enumerate(klass[b : b + n_win].tolist()):
-                    if not flags[i] or k not in own:
-                        own.add(k)
+                for i, c in enumerate(numbers[k].tolist()):
+                    if not flags[k][i] or c not in own:
+                        own.add(c)
                         marks.append(i.to_bytes(4, "big") + xxhash.xxh3_128_digest(run[i : i + min_len]))
-            for column, x in zip(cols, (h, fp, edges[::2].tolist(), edges[1::2].tolist(), marks)):
-                column.append(x)
+            if len(edges) or marks:
+                for column, x in zip(cols, (h, fp, edges[::2].tolist(), edges[1::2].tolist(), marks)):
+                    column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.list_(pa.binary()))], ["h", "fp", "lo", "hi", "marks"])
 
     last = None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= BLOCK and row[:2] != last:
+            if size >= BLOCK * 4 and row[:2] != last:
                 yield work()
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
             last = row[:2]
     if held:
         yield work()
@@ -268,13 +319,13 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     shared = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
     found = materialize(runs.join(shared, "h"), "shared_runs")
     mixed = found.where("mixed")
-    variants = mixed.groupBy("h", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_win")).alias("at"))
+    variants = mixed.groupBy("h", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_win", "anchor")).alias("at"))
     variants = materialize(variants.select("h", "fp", "n", "at.*"), "variants")
     wide = variants.groupBy("h").agg(F.count("*").alias("v")).where(F.col("v") > max_variants)
     blocks = F.when(F.col("v").isNull(), F.lit(-1)).otherwise(F.pmod(F.col("fp"), F.ceil(F.col("v") / max_variants).cast("long"))).cast("int")
     placed = variants.join(wide, "h", "left").withColumn("blk", blocks)
-    wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "blk", "fp", "start", "n_win")).alias("wanted"))
-    fetched = _packed(docs).join(wanted, "doc_id").select("packed", "wanted").mapInArrow(lambda b: _fetch(_thin(b), min_len), "h long, blk int, fp long, run binary")
+    wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "blk", "fp", "start", "n_win", "anchor")).alias("wanted"))
+    fetched = _packed(docs).join(wanted, "doc_id").select("packed", "wanted").mapInArrow(lambda b: _fetch(_thin(b), min_len), "h long, blk int, fp long, anchor int, run binary")
     indexed = materialize(
         fetched.repartition("h", "blk").sortWithinPartitions("h", "blk").mapInArrow(lambda b: _expand(b, min_len), "h long, fp long, lo array<int>, hi array<int>, marks array<binary>"),
         "repeats",
