@@ -9,7 +9,9 @@ shards; its hash in every header says which one is needed.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +35,9 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that never looks across white space, each distinct word encoded once.
 
     Right for tokenizers whose pre-tokenizer drops white space; words are cut at ASCII white space only, the rest is the
-    tokenizer's. The memory is bounded: at `max_words` words the table starts anew.
+    tokenizer's. New words go to the library many at a time: where tokens mark the ends of pre-tokens, plain words (letters,
+    then perhaps one run of signs) are encoded as one text and cut apart at those ends; others one by one. The memory is
+    bounded: at `max_words` words the table starts anew.
     """
 
     def __init__(self, path: str, width: int, max_words: int = 700_000) -> None:
@@ -43,18 +47,61 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         self.max_words = max_words
         self.known: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, k in vocabulary.items():
+            self.ends[k] = bool(suffix) and token.endswith(suffix)
+
+    @staticmethod
+    def pieces(word: str) -> int:
+        """1 for letters, 2 for letters and signs behind them, 0 for anything else."""
+        bare = word.rstrip(".,;:!?|)")
+        if bare.isalpha() and (bare.isascii() or bare.lower().isalpha() and unicodedata.is_normalized("NFC", bare)):
+            return 1 + (len(bare) < len(word))
+        return 0
+
+    def learn(self, words: list[bytes]) -> None:
+        single, joint, counts = [], [], []
+        for w in words:
+            n = self.pieces(w.decode()) if self.ends.any() else 0
+            if n:
+                joint.append(w)
+                counts.append(n)
+            else:
+                single.append(w)
+        for at in range(0, len(joint), 2048):
+            part = joint[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            want = np.cumsum(counts[at : at + 2048])
+            if len(stops) != want[-1]:
+                single += part
+                continue
+            to = stops[want - 1] * self.dtype.itemsize
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *to[:-1].tolist()], to.tolist())]))
+        for at in range(0, len(single), 4096):
+            part = single[at : at + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[word] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.max_words:
             self.known.clear()
         split = [t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        flat = [w for words in split for w in words]
+        ids = list(map(self.known.get, flat))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            self.learn(list({flat[k] for k in missing}))
+            for k in missing:
+                ids[k] = self.known[flat[k]]
+        out, at = [], 0
+        for words in split:
+            out.append(b"".join(ids[at : at + len(words)]))
+            at += len(words)
+        return out
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
