@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxcube.llm import chat_format, embed_dedup, langid, mixing, ngram_join, suffix_dedup, token_counts, token_output
+from fluxcube.llm import chat_format, decontaminate, embed_dedup, langid, mixing, ngram_join, pii, suffix_dedup, token_counts, token_output
 from fluxcube.llm.common import read_table
 from fluxcube.session import ship_package
 
@@ -42,10 +42,18 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(read_table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -60,7 +68,9 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     op3_language_id,
     op4_chat_format,
     op5_token_output,
+    op6_decontaminate,
     op7_token_counts,
+    op8_pii,
     op9_ngram_join,
     op10_source_mix,
 ]
