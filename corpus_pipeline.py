@@ -1,11 +1,68 @@
-"""The corpus pipeline; its stages follow."""
+"""From raw documents to token shards in five stages.
 
+Each stage takes `(spark, docs, sf_dir)` and returns a DataFrame that is written and read again before the next one.
+All but the last keep the columns of `documents`:
+
+1. language ID: documents without a recognised language go;
+2. n-gram Jaccard join (five words, 0.8): of each group of near copies the smallest id stays;
+3. decontamination: documents that hold a benchmark item go;
+4. mixing: every source is taken up to its target, in training order, whole copies and one cropped one a source;
+5. token output: the mix is encoded and written as shards; the rows are read back from them.
+
+Mixing can take a document twice; both copies then go on to the shards under one doc_id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fluxcube.llm import decontaminate, langid, mixing, ngram_join, token_output
+from fluxcube.llm.common import materialize, read_table
+from fluxcube.llm.queries import tokenizer_path
+from fluxcube.session import ship_package
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return langid.keep_identified(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ngram_join.keep_first(docs)
+
+
+def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return decontaminate.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return mixing.mix(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_output.round_trip(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_benchmark_items),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name)
     return docs
