@@ -317,7 +317,8 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     """`(doc_id, lo, hi)`: byte ranges covered by `min_len`-byte strings that start elsewhere too; ranges may overlap."""
     runs = materialize(find_runs(docs, min_len), "runs")
     shared = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
-    found = materialize(runs.join(shared, "h"), "shared_runs")
+    # written first: a join of two plain exchanges is one whose hot keys Spark can split
+    found = materialize(runs.join(materialize(shared, "minimizers"), "h"), "shared_runs")
     mixed = found.where("mixed")
     variants = mixed.groupBy("h", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_win", "anchor")).alias("at"))
     variants = materialize(variants.select("h", "fp", "n", "at.*"), "variants")
