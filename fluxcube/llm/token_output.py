@@ -35,56 +35,67 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that never looks across white space, each distinct word encoded once.
 
     Right for tokenizers whose pre-tokenizer drops white space; words are cut at ASCII white space only, the rest is the
-    tokenizer's. New words go to the library many at a time: where tokens mark the ends of pre-tokens, plain words (letters,
-    then perhaps one run of signs) are encoded as one text and cut apart at those ends; others one by one. The memory is
-    bounded: at `max_words` words the table starts anew.
+    tokenizer's. Where tokens mark the ends of pre-tokens, a plain word is its letters and perhaps one run of signs behind
+    them: two pre-tokens, which many words share. New pre-tokens go to the library many at a time, as one text that is cut
+    apart at those ends; words of another kind go one by one. The memory is bounded: at `max_words` entries a table starts
+    anew.
     """
 
-    def __init__(self, path: str, width: int, max_words: int = 700_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, width: int, max_words: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         self.max_words = max_words
         self.known: dict[bytes, bytes] = {}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.pieces: dict[bytes, bytes] = {}
+        facts = json.loads(self.tokenizer.to_str())
+        suffix = facts["model"].get("end_of_word_suffix")
+        # for folded pre-tokens: the same model without the steps that they have behind them
+        byte_level = "ByteLevel" in json.dumps(facts["pre_tokenizer"])
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] if byte_level else [])])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, k in vocabulary.items():
             self.ends[k] = bool(suffix) and token.endswith(suffix)
 
-    @staticmethod
-    def pieces(word: str) -> int:
-        """1 for letters, 2 for letters and signs behind them, 0 for anything else."""
-        bare = word.rstrip(".,;:!?|)")
-        if bare.isalpha() and (bare.isascii() or bare.lower().isalpha() and unicodedata.is_normalized("NFC", bare)):
-            return 1 + (len(bare) < len(word))
-        return 0
-
-    def learn(self, words: list[bytes]) -> None:
-        single, joint, counts = [], [], []
-        for w in words:
-            n = self.pieces(w.decode()) if self.ends.any() else 0
-            if n:
-                joint.append(w)
-                counts.append(n)
-            else:
-                single.append(w)
-        for at in range(0, len(joint), 2048):
-            part = joint[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            want = np.cumsum(counts[at : at + 2048])
-            if len(stops) != want[-1]:
-                single += part
+    def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """Letters, folded, and the signs behind them; None for a word of another kind, which the library gets as it is."""
+        text = word.decode()
+        bare = text.rstrip(".,;:!?|)")
+        low = bare.lower()
+        if low.isalpha() and (bare.isascii() or bare.isalpha() and unicodedata.is_normalized("NFC", bare) and unicodedata.is_normalized("NFC", low)):
+            return low.encode(), text[len(bare) :].encode()
+        return None
+
+    def _several(self, pieces: list[bytes]) -> None:
+        """Encode pre-tokens as one text and cut the ids apart where pre-tokens end."""
+        for at in range(0, len(pieces), 512):
+            part = pieces[at : at + 512]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            to = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(to) != len(part):
+                self._singly(part, self.pieces)
                 continue
-            to = stops[want - 1] * self.dtype.itemsize
             raw = ids.tobytes()
-            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *to[:-1].tolist()], to.tolist())]))
-        for at in range(0, len(single), 4096):
-            part = single[at : at + 4096]
+            self.pieces.update(zip(part, [raw[x:y] for x, y in zip([0, *to[:-1].tolist()], to.tolist())]))
+
+    def _singly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, self.dtype).tobytes()
+                into[word] = np.array(e.ids, self.dtype).tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.pieces) > self.max_words:
+            self.pieces.clear()
+        split = [(w, p) for w in words if (p := self.parts(w))] if self.ends.any() else []
+        self._several(list({x for _, p in split for x in p if x}.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        for w, (bare, signs) in split:
+            self.known[w] = get(bare) + get(signs) if signs else get(bare)
+        self._singly(list({*words}.difference(self.known)), self.known)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.max_words:
