@@ -9,7 +9,9 @@ shards; its hash in every header says which one is needed.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import operator
 import struct
 import unicodedata
 import uuid
@@ -90,28 +92,43 @@ class WordEncoder:
     def learn(self, words: list[bytes]) -> None:
         if len(self.pieces) > self.max_words:
             self.pieces.clear()
-        split = [(w, p) for w in words if (p := self.parts(w))] if self.ends.any() else []
-        self._several(list({x for _, p in split for x in p if x}.difference(self.pieces)))
+        plain, letters, signs, other = [], [], [], []
+        for w in words if self.ends.any() else ():
+            if w.isascii():
+                low = w.lower()
+                bare = low.rstrip(b".,;:!?|)")
+                if bare.isalpha():
+                    plain.append(w)
+                    letters.append(bare)
+                    signs.append(low[len(bare) :])
+                    continue
+            elif p := self.parts(w):
+                plain.append(w)
+                letters.append(p[0])
+                signs.append(p[1])
+                continue
+            other.append(w)
+        self.pieces[b""] = b""
+        self._several(list({*letters, *signs}.difference(self.pieces)))
         get = self.pieces.__getitem__
-        for w, (bare, signs) in split:
-            self.known[w] = get(bare) + get(signs) if signs else get(bare)
-        self._singly(list({*words}.difference(self.known)), self.known)
+        self.known.update(zip(plain, map(operator.add, map(get, letters), map(get, signs))))
+        self._singly(other if self.ends.any() else words, self.known)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.max_words:
             self.known.clear()
-        split = [t.split() for t in texts]
-        flat = [w for words in split for w in words]
-        ids = list(map(self.known.get, flat))
-        missing = [k for k, x in enumerate(ids) if x is None]
-        if missing:
-            self.learn(list({flat[k] for k in missing}))
-            for k in missing:
-                ids[k] = self.known[flat[k]]
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(ids[at : at + len(words)]))
-            at += len(words)
+        out: list[bytes] = []
+        for at in range(0, len(texts), 64):
+            split = [t.split() for t in texts[at : at + 64]]
+            flat = list(itertools.chain.from_iterable(split))
+            ids = list(map(self.known.get, flat))
+            if None in ids:
+                missing = [k for k, x in enumerate(ids) if x is None]
+                self.learn(list({flat[k] for k in missing}))
+                for k in missing:
+                    ids[k] = self.known[flat[k]]
+            end = list(itertools.accumulate(map(len, split)))
+            out += [b"".join(ids[a:b]) for a, b in zip([0, *end], end)]
         return out
 
 
