@@ -238,7 +238,7 @@ class Field:
 
 
 @functools.cache
-def train(rounds: int = 120, rate: float = 0.5, decay: float = 0.002, margin: float = 3.0) -> Field:
+def train(rounds: int = 120, rate: float = 0.5, decay: float = 0.002, margin: float = 2.0) -> Field:
     """Gradient ascent on the penalised likelihood of the labelled table; the same result every time."""
     rows = labelled_table()
     names = sorted({f for words, _ in rows for w in words for f in features(w)})

@@ -65,6 +65,8 @@ class WordEncoder:
     def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
         """Letters, folded, and the signs behind them; None for a word of another kind, which the library gets as it is."""
         text = word.decode()
+        if "Σ" in text:  # whose small form depends on its place in Python, but not in the tokenizer
+            return None
         bare = text.rstrip(".,;:!?|)")
         low = bare.lower()
         if low.isalpha() and (bare.isascii() or bare.isalpha() and unicodedata.is_normalized("NFC", bare) and unicodedata.is_normalized("NFC", low)):
