@@ -101,6 +101,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_caches: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What one operator keeps in this worker process between tasks. Another operator's table is dropped first, so that
+    workers, which are used again, hold one table at a time."""
+    if key not in _caches:
+        _caches.clear()
+        _caches[key] = make()
+    return _caches[key]
+
+
 class UnionFind:
     """Path-halving union by smallest id; bounded by what its caller puts in."""
 

@@ -49,7 +49,7 @@ class LanguageModel:
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         # square roots of counts keep the direction of a text and of the text repeated
-        v = np.sqrt(gram_counts(texts, len(self.idf))) * self.idf
+        v = np.sqrt(gram_counts(texts, len(self.idf)), dtype=np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ class LanguageModel:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         near = self.vectors(texts) @ self.centroids.T
         best = near.argmax(axis=1)
-        score = np.clip(near[np.arange(len(texts)), best], 0, 1)
+        score = np.round(np.clip(near[np.arange(len(texts)), best], 0, 1).astype(np.float64), 6)
         known = np.array([has_letter(t) for t in texts], bool)
         langs = [self.langs[b] if k else "und" for b, k in zip(best, known)]
         return langs, np.where(known, score, 0.0), ~known | (score < self.floor[best])
@@ -83,9 +83,9 @@ def train(texts: list[str], langs: list[str], dims: int = 4096, per_lang: int =
     pairs = [(t, g) for t, g in zip(texts, langs) if g is not None and has_letter(t or "")]
     if not pairs:
         return LanguageModel([], np.ones(dims), np.zeros((0, dims)), np.zeros(0))
-    counts = np.concatenate([gram_counts([t for t, _ in pairs[i : i + 256]], dims) for i in range(0, len(pairs), 256)])
-    idf = np.log((1 + len(pairs)) / (1 + (counts > 0).sum(0))) + 1
-    v = np.sqrt(counts) * idf
+    v = np.concatenate([np.sqrt(gram_counts([t for t, _ in pairs[i : i + 128]], dims), dtype=np.float32) for i in range(0, len(pairs), 128)])
+    idf = (np.log((1 + len(pairs)) / (1 + (v > 0).sum(0))) + 1).astype(np.float32)
+    v *= idf
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     labels = np.array([g for _, g in pairs])
     names, rows, floors = [], [], []
@@ -104,7 +104,7 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, sample_per_lang: int = 500, dims: int = 4096, per_lang: int = 4) -> LanguageModel:
+def fit(docs: DataFrame, sample_per_lang: int = 400, dims: int = 4096, per_lang: int = 4) -> LanguageModel:
     """Train on a bounded sample: of each language the `sample_per_lang` documents with the smallest hash of their id,
     held-out and unlabelled ones left out. Only this fit is bounded; prediction reads every whole text."""
     rows = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull())

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import components, map_text, materialize, mix64, text_frame
+from fluxcube.llm.common import components, map_text, materialize, mix64, text_frame, worker_cache
 
 SKETCH_BITS = 18
 SLICES = 64
@@ -55,11 +55,8 @@ class Shingler:
         return np.unique(out)
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def shingler(words: int) -> Shingler:
-    return _shinglers.setdefault(words, Shingler(words))
+    return worker_cache(("shingles", words), lambda: Shingler(words))
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -286,7 +283,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         both = near.join(packed.toDF("b", "text_b"), "b").join(packed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"), f"{name}_links")
 
-    # first round: a pivot for each n-gram, another one for each, so that a set meets several members of its group
+    # first round: a pivot for each n-gram; by one of a few orders of sets, so that a set meets several members of its
+    # group, and n-grams of one group mostly agree on their pivots
     pivots = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc_id").alias("h"), "doc_id", "n", "pos")).alias("p"))
     met = named.join(pivots, "gram").select("doc_id", F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("p.doc_id").alias("other"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"))
     pairs = met.where((F.col("doc_id") != F.col("other")) & _fits(percent)).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import map_text, text_frame
+from fluxcube.llm.common import map_text, text_frame, worker_cache
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("name", "id_number")
@@ -279,9 +279,6 @@ def train(rounds: int = 120, rate: float = 0.5, decay: float = 0.002, margin: fl
     return Field({f: w[k] for f, k in number.items()}, moves, margin)
 
 
-_field: list[Field] = []
-
-
 def find_spans(docs: DataFrame) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `doc_id, spans array<struct<kind, start, end>>`, in code points, end exclusive.
 
@@ -291,13 +288,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train())  # the table's features: a few hundred rows
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _field or _field[0].weights is not shared.value.weights:
-            _field[:] = [shared.value]
+        found_by = worker_cache("field", lambda: shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = []
-            for text, added in zip(texts, _field[0].spans(texts)):
+            for text, added in zip(texts, found_by.spans(texts)):
                 base = pattern_spans(text)
                 spans = [{"kind": k, "start": a, "end": b} for k in KINDS for a, b in base[k]]
                 rows.append(spans + [{"kind": k, "start": a, "end": b} for k, a, b in sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))])

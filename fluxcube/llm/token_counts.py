@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import map_text, text_frame
+from fluxcube.llm.common import map_text, text_frame, worker_cache
 
 SPACE = "▁"
 
@@ -91,13 +91,8 @@ class PieceTrie:
         return [len(w) for w in split], [sum(map(self.words.__getitem__, w)) for w in split]
 
 
-_tries: dict[str, PieceTrie] = {}
-
-
 def trie(model_file: str) -> PieceTrie:
-    if model_file not in _tries:
-        _tries[model_file] = PieceTrie(*load_pieces(model_file))
-    return _tries[model_file]
+    return worker_cache(("pieces", model_file), lambda: PieceTrie(*load_pieces(model_file)))
 
 
 def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:

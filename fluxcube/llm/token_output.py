@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import map_text, materialize, scratch_path, text_frame
+from fluxcube.llm.common import map_text, materialize, scratch_path, text_frame, worker_cache
 
 MAGIC = b"FXTOKEN1"
 HEADER = struct.Struct("<8sHHQQ32s")
@@ -43,7 +43,7 @@ class WordEncoder:
     anew.
     """
 
-    def __init__(self, path: str, width: int, max_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, width: int, max_words: int = 600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -134,14 +134,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
-
-
 def encoder(path: str, width: int) -> WordEncoder:
     """This process's encoder; Python workers are used again, and so is what they have learnt."""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = WordEncoder(path, width)
-    return _encoders[path, width]
+    return worker_cache(("encoder", path, width), lambda: WordEncoder(path, width))
 
 
 def id_width(path: str) -> int:
