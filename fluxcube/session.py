@@ -30,7 +30,8 @@ def build_session(app: str = "fluxcube", cpus: int = 8, memory: str = "12g") ->
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and keep Arrow batches small: texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
