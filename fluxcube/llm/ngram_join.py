@@ -27,6 +27,7 @@ from fluxcube.llm.common import components, map_text, materialize, mix64, text_f
 
 SKETCH_BITS = 18
 SLICES = 64
+PIVOT_ORDERS = 4
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -285,7 +286,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     # first round: a pivot for each n-gram; by one of a few orders of sets, so that a set meets several members of its
     # group, and n-grams of one group mostly agree on their pivots
-    pivots = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc_id").alias("h"), "doc_id", "n", "pos")).alias("p"))
+    order_of = F.pmod("gram", F.lit(PIVOT_ORDERS))
+    pivots = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64(order_of, "doc_id").alias("h"), "doc_id", "n", "pos")).alias("p"))
     met = named.join(pivots, "gram").select("doc_id", F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("p.doc_id").alias("other"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"))
     pairs = met.where((F.col("doc_id") != F.col("other")) & _fits(percent)).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     facts = nodes.select("doc_id", "bitmap", "n")
