@@ -8,7 +8,7 @@ from typing import Any, Literal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.cube import Cube, same_keys, to_date
+from fluxcube.cube import Cube, to_date
 from fluxcube.functions.missing import safe_div
 from fluxcube.functions.units import registry
 from fluxcube.meta import CubeError, CubeMeta
@@ -19,9 +19,11 @@ class MergeError(ValueError):
 
 
 def _full(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells of both with the values `va` and `vb`."""
-    joined = a.alias("a").join(b.alias("b"), same_keys("a", "b", keys), "full")
-    return joined.select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys], F.col("a.value").alias("va"), F.col("b.value").alias("vb"))
+    """Cells of both with the values `va` and `vb`: a union and one hash aggregation, which takes NULL keys as equal,
+    needs no sort and leaves no hot key to a join."""
+    nothing = F.lit(None).cast("double")
+    sides = a.select(*keys, F.col("value").alias("va"), nothing.alias("vb")).union(b.select(*keys, nothing.alias("va"), F.col("value").alias("vb")))
+    return sides.groupBy(*keys).agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
 
 
 def _joint_meta(a: CubeMeta, b: CubeMeta) -> CubeMeta:

@@ -8,12 +8,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxcube.cube import Cube, same_keys
+from fluxcube.cube import Cube
 from fluxcube.meta import CubeError
 from fluxcube.operators.aggregate import fill_all_na
-from fluxcube.operators.align import combine_first, set_values
+from fluxcube.operators.align import set_values
 from fluxcube.operators.gwp import _basket_meta, factors_to, scaled_by_variable
-from fluxcube.operators.select import select_no_scalar_dimension
+from fluxcube.operators.select import condition, select_no_scalar_dimension
 
 
 class DownscalingError(ValueError):
@@ -48,19 +48,20 @@ def _check(state: DataFrame, tolerance: float, consistency: bool, hint: str) ->
 
 
 def _downscaled(cells: DataFrame, keys: Sequence[str], part: str, total_label: str, parts: Sequence[str], skipna: bool, tolerance: float, consistency: bool) -> DataFrame:
-    """Rows (keys, value) for the parts at every time of the total. `cells` hold total and parts, `part` names the column."""
+    """Rows (keys, value) for the parts at every time of the total. `cells` hold total and parts, `part` names the column.
+
+    One aggregation brings total, sum and known parts of a time together, one window runs along the series; no join.
+    """
     rest = [k for k in keys if k != part]
-    by_time = F.count_if(F.col("value").isNotNull() & (F.col(part) != total_label))
-    total = F.max(F.when(F.col(part) == total_label, F.col("value")))
-    parts_sum = F.sum(F.when(F.col(part) != total_label, F.col("value")))
+    is_part = F.col(part) != total_label
+    total = F.max(F.when(~is_part, F.col("value")))
+    parts_sum = F.sum(F.when(is_part, F.col("value")))
     if not skipna:
-        parts_sum = F.when(by_time == len(parts), parts_sum)
-    state = cells.groupBy(*rest).agg(total.alias("total"), parts_sum.alias("parts_sum"))
-    nonzero = _check(state, tolerance, consistency, f"downscaling of {total_label!r}")
-    # each total meets each part once: `parts` is a list that the caller wrote
-    frame = state.withColumn(part, F.explode(F.array(*[F.lit(p) for p in parts])))
-    known = cells.where((F.col(part) != total_label) & F.col("value").isNotNull())
-    grid = frame.alias("f").join(known.alias("c"), same_keys("f", "c", keys), "left").select(*[F.col(f"f.{k}").alias(k) for k in keys], F.col("f.total").alias("total"), F.col("f.parts_sum").alias("parts_sum"), F.col("c.value").alias("value"))
+        parts_sum = F.when(F.count_if(F.col("value").isNotNull() & is_part) == len(parts), parts_sum)
+    known = F.map_from_entries(F.collect_list(F.when(is_part & F.col("value").isNotNull(), F.struct(F.col(part), F.col("value")))))  # the parts that the caller wrote, at most
+    state = cells.groupBy(*rest).agg(total.alias("total"), parts_sum.alias("parts_sum"), known.alias("known"))
+    nonzero = _check(state.drop("known"), tolerance, consistency, f"downscaling of {total_label!r}")
+    grid = state.withColumn(part, F.explode(F.array(*[F.lit(p) for p in parts]))).withColumn("value", F.try_element_at("known", F.col(part)))
     both_zero = (F.col("total") == 0) & (F.col("parts_sum") == 0)
     if nonzero:
         share = F.when(F.col("parts_sum") != 0, F.col("value") / F.col("parts_sum"))
@@ -72,6 +73,15 @@ def _downscaled(cells: DataFrame, keys: Sequence[str], part: str, total_label: s
     return filled.select(*keys, F.coalesce("value", F.col("total") * F.col("share")).alias("value"))
 
 
+def _replaced(cube: Cube, column: str, parts: Sequence[str], sel: Mapping[str, Any] | None, new: DataFrame) -> Cube:
+    """The cube with the selected cells of the parts exchanged for `new`, which holds all of them."""
+    chosen = F.col(column).isin(*parts)
+    for name, selector in (sel or {}).items():
+        chosen &= condition(cube.meta.resolve(name), selector)
+    others = cube.df.where(~F.coalesce(chosen, F.lit(False))).select(*cube.keys, "value")
+    return cube.with_df(others.unionByName(new.select(*cube.keys, "value")))
+
+
 def downscale_timeseries(
     cube: Cube,
     dim: str,
@@ -97,7 +107,7 @@ def downscale_timeseries(
         filled = fill_all_na(contents, skipna_evaluation_dims)
         cells = cells.with_df(filled.df.where("value is not null").unionByName(cells.df.where(F.col(dim) == basket).select(*cells.keys, "value")))
     df = _downscaled(cells.df, cube.keys, dim, basket, list(basket_contents), skipna, tolerance, check_consistency)
-    return combine_first(cube, cube.with_df(df))
+    return _replaced(cube, dim, basket_contents, sel, df)
 
 
 def downscale_gas_timeseries(
@@ -124,7 +134,7 @@ def downscale_gas_timeseries(
     in_basket = part.df.withColumn("value", scaled_by_variable(factors))
     df = _downscaled(in_basket, cube.keys, "variable", basket, list(basket_contents), skipna, tolerance, check_consistency)
     back = df.withColumn("value", scaled_by_variable({k: v for k, v in factors.items() if k != basket}, inverse=True))
-    return combine_first(cube, cube.with_df(back))
+    return _replaced(cube, "variable", basket_contents, sel, back)
 
 
 def downscale_timeseries_by_shares(cube: Cube, dim: str, basket: str, basket_contents: Sequence[str], basket_contents_shares: Cube | DataFrame) -> Cube:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.cube import Cube, same_keys, to_date
+from fluxcube.cube import Cube, to_date
 from fluxcube.meta import CubeError, CubeMeta, split_long_name
 
 
@@ -154,4 +154,4 @@ def filter_rows(df: DataFrame, keep: Mapping[str, Mapping[str, Any]] | None = No
     return df
 
 
-__all__ = ["Not", "assign", "condition", "expand_dims", "filter_rows", "get", "loc", "same_keys", "select_no_scalar_dimension"]
+__all__ = ["Not", "assign", "condition", "expand_dims", "filter_rows", "get", "loc", "select_no_scalar_dimension"]
