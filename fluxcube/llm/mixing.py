@@ -72,16 +72,18 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame
     id and size. An empty table gives an empty result. Reruns agree.
     """
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("mark"), F.substring(mark, 1, BUCKET_DIGITS).alias("bucket"))
-    buckets = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix_buckets")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # so that a null source joins like any other
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), mark.alias("mark"), F.substring(mark, 1, BUCKET_DIGITS).alias("bucket"))
+    buckets = materialize(rows.groupBy("source", "key", "bucket").agg(F.sum("size").alias("size")), "mix_buckets")
     targets = source_targets(buckets, share, cap)
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.select("source", "bucket", before.alias("bucket_start"))
-    starts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("s"), F.col("b.bucket").alias("b"), "bucket_start", "source_size", "target", "rate0", "rate1")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = buckets.select("source", "key", "bucket", before.alias("bucket_start"))
+    starts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.key", "b.bucket", "bucket_start", "source_size", "target", "rate0", "rate1")
     starts = materialize(starts, "mix_starts")
-    within = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    # the window's partitioning serves the join; its other side grows with sources, so it isn't broadcast
+    placed = placed.join(starts.hint("merge"), ["key", "bucket"])
     goal = F.floor(F.col("target") + 0.5).cast("long")
     begin = F.col("bucket_start") + F.col("in_bucket")
     full = F.when(F.col("source_size") > 0, F.expr("floor(target + 0.5) div source_size")).otherwise(F.lit(0)).cast("long")
