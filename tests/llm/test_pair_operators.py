@@ -168,3 +168,20 @@ def test_components(spark, edges):
     want = {x: uf.find(x) for a, b in edges if a != b for x in (a, b)}
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3)), max_size=14), st.integers(1, 5))
+def test_lone_posts_drop_out_at_any_batch_size(posts, size):
+    import pyarrow as pa
+
+    posts = sorted(posts)
+    node = lambda x: bytes([x]) * 16
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([g for g, _ in part], pa.int64()), pa.array([node(x) for _, x in part], pa.binary()), pa.array([1] * len(part), pa.int32()), pa.array([0] * len(part), pa.int32())], ["gram", "node", "n", "pos"])
+        for i in range(0, len(posts), size)
+        for part in [posts[i : i + size]]
+    ]
+    got = [(r["gram"], r["node"][0]) for b in ngram_join._not_alone(iter(batches)) for r in b.to_pylist()]
+    distinct = sorted(set(posts))
+    assert sorted(got) == [p for p in distinct if sum(q[0] == p[0] for q in distinct) > 1]
