@@ -64,22 +64,25 @@ class LanguageModel:
         return langs, np.where(known, score, 0.0), ~known | (score < self.floor[best])
 
 
-def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from a farthest-first start."""
+def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Centroids by spherical k-means. Each next seed is a text that is further from the seeds than two in three, which
+    spreads them without starting from the oddest texts; clusters of under a hundredth of the texts are dissolved."""
     picks = [int((v @ v.mean(0)).argmax())]
     while len(picks) < min(k, len(v)):
-        picks.append(int((v @ v[picks].T).max(axis=1).argmin()))
-    centers = v[picks]
+        picks.append(int(np.argsort((v @ v[picks].T).max(axis=1), kind="stable")[len(v) // 3]))
+    centers = v[sorted(set(picks))]
     for _ in range(rounds):
         label = (v @ centers.T).argmax(axis=1)
-        sums = np.array([v[label == c].sum(0) if (label == c).any() else centers[c] for c in range(len(centers))])
+        sizes = np.bincount(label, minlength=len(centers))
+        keep = np.flatnonzero(sizes >= min(len(v) / 100, sizes.max()))
+        sums = np.array([v[label == c].sum(0) for c in keep])
         centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centers, (v @ centers.T).argmax(axis=1)
+    return centers
 
 
-def train(texts: list[str], langs: list[str], dims: int = 4096, per_lang: int = 4, reject: float = 0.6) -> LanguageModel:
-    """Centroids of a labelled sample. `reject`: a text is too far from a centroid whose cosine is under this share of
-    the smallest that the centroid's own training texts have."""
+def train(texts: list[str], langs: list[str], dims: int = 4096, per_lang: int = 4, reject: float = 0.4) -> LanguageModel:
+    """Centroids of a labelled sample. `reject`: a text is too far from a language if its cosine with the nearest centroid
+    is under this share of the smallest that the language's training texts have with theirs."""
     pairs = [(t, g) for t, g in zip(texts, langs) if g is not None and has_letter(t or "")]
     if not pairs:
         return LanguageModel([], np.ones(dims), np.zeros((0, dims)), np.zeros(0))
@@ -91,12 +94,10 @@ def train(texts: list[str], langs: list[str], dims: int = 4096, per_lang: int =
     names, rows, floors = [], [], []
     for lang in sorted(set(labels)):
         own = v[labels == lang]
-        centers, member = _cluster(own, per_lang)
-        for c, center in enumerate(centers):
-            near = own[member == c] @ center
-            names.append(str(lang))
-            rows.append(center)
-            floors.append(reject * (near.min() if len(near) else 1.0))
+        centers = _cluster(own, per_lang)
+        names += [str(lang)] * len(centers)
+        rows += list(centers)
+        floors += [reject * (own @ centers.T).max(axis=1).min()] * len(centers)
     return LanguageModel(names, idf, np.array(rows), np.array(floors))
 
 
