@@ -57,7 +57,7 @@ class Interchange:
 
 
 #: Rules by name for `coords_value_mapping`; the entity is mapped first, as units depend on it.
-NAMED_RULES: dict[str, dict[str, Callable[..., str]]] = {"PRIMAP1": {"category": ipcc_code, "entity": entity_name, "unit": unit_name}}
+NAMED_RULES: dict[str, dict[str, Callable[..., str]]] = {"COMPACT": {"category": ipcc_code, "entity": entity_name, "unit": unit_name}}
 
 
 def _check(coords_cols: Mapping[str, str], defaults: Mapping[str, str], add_coords: Mapping[str, Sequence[str]], terminologies: Mapping[str, str]) -> None:

@@ -15,7 +15,7 @@ OPTIONS = dict(
     coords_cols={"unit": "unit", "entity": "gas", "area": "country", "category": "category"},
     coords_terminologies={"area": "ISO3", "category": "IPCC2006", "scenario": "general"},
     coords_defaults={"source": "TESTcsv2021", "scenario": "HISTORY"},
-    coords_value_mapping={"unit": "PRIMAP1", "entity": "PRIMAP1", "category": "PRIMAP1"},
+    coords_value_mapping={"unit": "COMPACT", "entity": "COMPACT", "category": "COMPACT"},
 )
 
 
@@ -58,14 +58,14 @@ def test_filters_and_secondary_categories(spark):
 
 def test_units_are_made_equal(spark):
     df = spark.createDataFrame([("AUS", "1", "CH4", "Gg", "4.1"), ("AUS", "2", "CH4 (SARGWP100)", "GgCO2eq", "147"), ("DEU", "1", "SF6", "Gg", "4.1"), ("DEU", "2", "SF6", "t", "1000")], ["country", "category", "gas", "unit", "1991"])
-    data = tables.convert_wide(df, **{**OPTIONS, "coords_value_mapping": {"unit": "PRIMAP1"}})
+    data = tables.convert_wide(df, **{**OPTIONS, "coords_value_mapping": {"unit": "COMPACT"}})
     got = [(e, u, pytest.approx(v)) for _, e, u, _, _, v in rows(data)]
     assert got == [("CH4", "Gg CH4 / yr", 4.1), ("CH4", "Gg CH4 / yr", 7), ("SF6", "Gg SF6 / yr", 4.1), ("SF6", "Gg SF6 / yr", 1)]
 
 
 def test_coordinates_codes_and_errors(spark):
     df = spark.createDataFrame([("AUS", "XX", "Energy", "CO2", "Gg", "IE"), ("ZAM", "XX", "IPPU", "CO2", "Gg", "8")], ["country", "category", "name", "gas", "unit", "1991"])
-    options = {**OPTIONS, "add_coords_cols": {"category_name": ["name", "category"]}, "coords_value_filling": {"category": {"category_name": {"Energy": "1", "IPPU": "2"}}}, "coords_value_mapping": {"unit": "PRIMAP1"}}
+    options = {**OPTIONS, "add_coords_cols": {"category_name": ["name", "category"]}, "coords_value_filling": {"category": {"category_name": {"Energy": "1", "IPPU": "2"}}}, "coords_value_mapping": {"unit": "COMPACT"}}
     data = tables.convert_wide(df, **options)
     cube = tables.to_cube(data)
     assert cube.meta.coords["category_name"] == ("category", {"1": "Energy", "2": "IPPU"}) and values(cube, "category") == {"1": 0, "2": 8}
