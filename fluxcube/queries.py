@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fluxcube.cube import Cube
 from fluxcube.functions.codes import ipcc_code, map_distinct, parse_code_column
 from fluxcube.meta import VariableMeta
-from fluxcube.operators import aggregate, align, convert, downscale, gaps, gwp, select, validate
+from fluxcube.operators import aggregate, align, arithmetic, convert, downscale, gaps, gwp, select, validate
 from fluxcube.operators.select import Not
 from fluxcube.plans import compose, strategies
 from fluxcube.plans.definitions import PriorityDefinition, StrategyDefinition
@@ -205,6 +205,25 @@ def set_fillna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(align.set_values(lineitem_cube(spark, sf_dir), "time", ["1997", "2010"], 3.5, existing="fillna"))
 
 
+@query(f"""with {LINEITEM_SQL} select a.area, a.source, a.time, 'share' as variable, a.value / t.value as value from (select * from cube where variable = 'CO2') a
+join (select area, time, sum(value) as value from cube where variable = 'CO2' group by all) t using (area, time)""")
+def arithmetic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = lineitem_cube(spark, sf_dir).variable("CO2")
+    return cells(arithmetic.combine(cube, aggregate.sum_cells(cube, "source"), "/", "share"))
+
+
+@query(f"""with {LINEITEM_SQL} select a.area, a.source, a.time, 'both' as variable, a.value + b.value * 25.0::double as value from (select * from cube where variable = 'CO2') a
+join (select * from cube where variable = 'CH4') b using (area, source, time)""")
+def arithmetic_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = gwp.convert_to_gwp(lineitem_cube(spark, sf_dir), "CH4", "AR4GWP100")
+    return cells(arithmetic.combine(cube.variable("CO2"), cube.variable("CH4 (AR4GWP100)"), "+", "both"))
+
+
+@query(f"""with {LINEITEM_SQL} select area, source, time, max(value) filter (variable = 'CO2') as "CO2", max(value) filter (variable = 'CH4') as "CH4", max(value) filter (variable = 'SF6') as "SF6" from cube group by all""")
+def frame_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arithmetic.to_frame(lineitem_cube(spark, sf_dir), "entity", ["CO2", "CH4", "SF6"])
+
+
 # --- units and baskets ------------------------------------------------------------------------------------------------
 
 

@@ -93,3 +93,21 @@ def test_set(spark):
     new = spark.createDataFrame([(day(2000), 9.0), (day(2001), None)], "time date, value double")
     got = values(align.set_values(c, "area", ["ARG", "COL"], new, existing="overwrite"), "area", "time")
     assert got == {("ARG", 2000): 9, ("ARG", 2001): None, ("COL", 2000): 9, ("COL", 2001): None, ("BOL", 2000): 2}
+
+
+def test_arithmetic(spark):
+    from fluxcube.operators import arithmetic
+
+    a = make(spark, [("ARG", "S", y, "CO2", v) for y, v in ((2000, 4.0), (2001, 0.0), (2002, n))])
+    b = make(spark, [("ARG", "S", y, "CO2", v) for y, v in ((2000, 2000.0), (2001, 0.0))], units={"CO2": "t CO2 / yr"})
+    assert values(arithmetic.combine(a, b, "+"), "time") == {2000: 6, 2001: 0}
+    ratio = arithmetic.combine(a, b, "/")
+    assert values(ratio, "time") == {2000: 2, 2001: n} and ratio.meta.variables["result"].unit == ""
+    assert values(arithmetic.combine(ratio, a, "*"), "time") == {2000: 8, 2001: n, 2002: n} or values(arithmetic.combine(ratio, a, "*"), "time") == {2000: 8, 2001: n}
+    assert values(arithmetic.combine(a, b, "-", join="left"), "time") == {2000: 2, 2001: 0, 2002: n}
+    with pytest.raises(CubeError, match="axes"):
+        arithmetic.combine(a, b, "+", join="exact")
+    with pytest.raises(CubeError, match="product"):
+        arithmetic.combine(a, b, "*")
+    wide = arithmetic.to_frame(a, "time").first()
+    assert wide["2000-01-01"] == 4
