@@ -33,26 +33,32 @@ HEADER = struct.Struct("<8sHHQQ32s")
 TAIL = struct.Struct("<Q8s")
 
 
+#: ASCII signs: a run of them is one pre-token. The apostrophe is left out, as it starts contractions.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never looks across white space, each distinct word encoded once.
+    """Ids of whole texts by a tokenizer that folds case and never looks across white space, each distinct word encoded once.
 
-    Right for tokenizers whose pre-tokenizer drops white space; words are cut at ASCII white space only, the rest is the
-    tokenizer's. Where tokens mark the ends of pre-tokens, a plain word is its letters and perhaps one run of signs behind
-    them: two pre-tokens, which many words share. New pre-tokens go to the library many at a time, as one text that is cut
-    apart at those ends; words of another kind go one by one. The memory is bounded: at `max_words` entries a table starts
-    anew.
+    Right for tokenizers whose normalizer folds case and whose pre-tokenizer drops white space; words are cut at ASCII
+    white space only, the rest is the tokenizer's. Where tokens mark the ends of pre-tokens, a plain word is its letters
+    and perhaps a run of signs behind them, two pre-tokens that other words share. New pre-tokens go to the library many
+    at a time, as one text that is cut apart at those ends; words of another kind go one by one. The memory is bounded: a
+    table of `max_words` becomes the old one, which is asked before the library, and the one before it goes.
     """
 
-    def __init__(self, path: str, width: int, max_words: int = 600_000) -> None:
+    def __init__(self, path: str, width: int, max_words: int = 350_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
         self.max_words = max_words
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         facts = json.loads(self.tokenizer.to_str())
-        suffix = facts["model"].get("end_of_word_suffix")
+        self.folds = "Lowercase" in json.dumps(facts["normalizer"])
+        self.special = [t["content"].lower().encode() for t in facts["added_tokens"]]
+        suffix = facts["model"].get("end_of_word_suffix") if self.folds else None
         # for folded pre-tokens: the same model without the steps that they have behind them
         byte_level = "ByteLevel" in json.dumps(facts["pre_tokenizer"])
         self.plain = Tokenizer(self.tokenizer.model)
@@ -62,16 +68,18 @@ class WordEncoder:
         for token, k in vocabulary.items():
             self.ends[k] = bool(suffix) and token.endswith(suffix)
 
-    def parts(self, word: bytes) -> tuple[bytes, bytes] | None:
-        """Letters, folded, and the signs behind them; None for a word of another kind, which the library gets as it is."""
-        text = word.decode()
-        if "Σ" in text:  # whose small form depends on its place in Python, but not in the tokenizer
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes] | None:
+        """Folded letters, and the ASCII signs behind them; None for a word of another kind."""
+        bare = word.rstrip(_SIGNS)
+        if bare.isalpha():
+            return bare.lower(), word[len(bare) :]
+        text = bare.decode()
+        # sigma's small form depends on its place in Python, but not in the tokenizer
+        if text.isascii() or not text.isalpha() or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
             return None
-        bare = text.rstrip(".,;:!?|)")
-        low = bare.lower()
-        if low.isalpha() and (bare.isascii() or bare.isalpha() and unicodedata.is_normalized("NFC", bare) and unicodedata.is_normalized("NFC", low)):
-            return low.encode(), text[len(bare) :].encode()
-        return None
+        low = text.lower()
+        return (low.encode(), word[len(bare) :]) if low.isalpha() and unicodedata.is_normalized("NFC", low) else None
 
     def _several(self, pieces: list[bytes]) -> None:
         """Encode pre-tokens as one text and cut the ids apart where pre-tokens end."""
@@ -80,53 +88,60 @@ class WordEncoder:
             ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.dtype)
             to = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
             if len(to) != len(part):
-                self._singly(part, self.pieces)
+                self._singly(part)
                 continue
-            raw = ids.tobytes()
-            self.pieces.update(zip(part, [raw[x:y] for x, y in zip([0, *to[:-1].tolist()], to.tolist())]))
+            raw, to = ids.tobytes(), to.tolist()
+            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *to[:-1]], to)]))
 
-    def _singly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _singly(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                into[word] = np.array(e.ids, self.dtype).tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.pieces) > self.max_words:
-            self.pieces.clear()
-        plain, letters, signs, other = [], [], [], []
-        for w in words if self.ends.any() else ():
-            if w.isascii():
-                low = w.lower()
-                bare = low.rstrip(b".,;:!?|)")
-                if bare.isalpha():
-                    plain.append(w)
-                    letters.append(bare)
-                    signs.append(low[len(bare) :])
-                    continue
+                self.known[word] = np.array(e.ids, self.dtype).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        known, old = self.known, self.old
+        need: set[bytes] = set()
+        joint: list[bytes] = []
+        letters: list[bytes] = []
+        signs: list[bytes] = []
+        other: list[bytes] = []
+        if not self.ends.any():
+            return self._singly(list(words))
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            elif w.isalpha() and w.islower():
+                need.add(w)
             elif p := self.parts(w):
-                plain.append(w)
+                joint.append(w)
                 letters.append(p[0])
                 signs.append(p[1])
-                continue
-            other.append(w)
-        self.pieces[b""] = b""
-        self._several(list({*letters, *signs}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        self.known.update(zip(plain, map(operator.add, map(get, letters), map(get, signs))))
-        self._singly(other if self.ends.any() else words, self.known)
+            else:
+                other.append(w)
+        known[b""] = b""
+        need.update(letters, signs)
+        self._several([w for w in need if w not in known])
+        get = known.__getitem__
+        known.update(zip(joint, list(map(operator.add, map(get, letters), map(get, signs)))))
+        self._singly(other)
+
+    def folded(self, text: bytes) -> bytes:
+        """ASCII in small letters, unless that could make other text a special token's name."""
+        low = text.lower() if self.folds else text
+        return text if any(name in low for name in self.special) else low
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.max_words:
-            self.known.clear()
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
-            split = [t.split() for t in texts[at : at + 64]]
+            if len(self.known) > self.max_words:
+                self.known, self.old = {}, self.known
+            split = [self.folded(t).split() for t in texts[at : at + 64]]
             flat = list(itertools.chain.from_iterable(split))
             ids = list(map(self.known.get, flat))
             if None in ids:
                 missing = [k for k, x in enumerate(ids) if x is None]
-                self.learn(list({flat[k] for k in missing}))
+                self.learn({flat[k] for k in missing})
                 for k in missing:
                     ids[k] = self.known[flat[k]]
             end = list(itertools.accumulate(map(len, split)))
