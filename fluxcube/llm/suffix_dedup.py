@@ -355,8 +355,8 @@ def remove_repeats(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
 
     `docs(doc_id, text, ...)`; other columns are not read. Returns `doc_id, n_bytes, n_removed, n_spans, kept binary,
     spans array<struct<lo, hi>>`. Null or short texts come back whole (null as empty); repeated rows count as repeats;
-    a doc_id that occurs twice gets the union of its rows' ranges on each of them, so ids should be unique; an empty
-    table gives an empty result. Nothing is capped: every place of every text is looked at.
+    a doc_id that occurs twice gets the union of its rows' ranges on each of them, so ids should be unique; a row without an
+    id comes back whole, though its strings count for others; an empty table gives an empty result. Nothing is capped: every place of every text is looked at.
     """
     spans = repeated_spans(docs, min_len, max_variants).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return _packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
