@@ -6,10 +6,13 @@ All but the last keep the columns of `documents`:
 1. language ID: documents without a recognised language go;
 2. n-gram Jaccard join (five words, 0.8): of each group of near copies the smallest id stays;
 3. decontamination: documents that hold a benchmark item go;
-4. mixing: every source is taken up to its target, in training order, whole copies and one cropped one a source;
+4. mixing: every source is taken up to its target, whole copies and one cropped one a source;
 5. token output: the mix is encoded and written as shards; the rows are read back from them.
 
 Mixing can take a document twice; both copies then go on to the shards under one doc_id.
+
+As stages hand on the columns of `documents` alone, `run` and STAGES write the shards in doc_id order: of the curriculum
+only the amounts are in their rows. `run(..., training_order=True)` hands on the position, too, and writes by it.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from fluxcube.session import ship_package
 
 #: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
+#: Column with the training position, where it is handed on.
+POSITION = "_position"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, order: str | None = None) -> DataFrame:
+    ship_package(spark)
+    return token_output.round_trip(docs, tokenizer_path("word_bpe_49k.json"), order=order).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def mix_with_position(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return token_output.round_trip(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return mixing.mix(docs, position=POSITION)
+
+
+def write_in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return write_tokens(spark, docs, sf_dir, POSITION)
 
 
 STAGES = [
@@ -57,11 +71,12 @@ STAGES = [
     ("mixing", mix_sources),
     ("token_output", write_tokens),
 ]
+IN_TRAINING_ORDER = [*STAGES[:-2], ("mixing", mix_with_position), ("token_output", write_in_training_order)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, training_order: bool = False) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(IN_TRAINING_ORDER if training_order else STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)

@@ -102,9 +102,10 @@ def digest(plan: DataFrame) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("copies").cast("long").alias("n_copies"), F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, position: str | None = None) -> DataFrame:
     """The mixed documents, with the columns of `docs`, sorted by training position: a row for each copy taken.
 
+    Row order doesn't outlive a shuffle; with `position` the training position is added as a last column of that name.
     A cropped copy holds its first words, joined by single spaces, and its number of characters in `n_chars` if there is
     such a column.
     """
@@ -115,6 +116,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     columns["text"] = F.when(partial, cropped).otherwise(F.col("row.text"))
     if "n_chars" in columns:
         columns["n_chars"] = F.when(partial, F.length(cropped).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    if position:
+        columns[position] = F.col("copy.position")
     at = [F.col("copy.position"), F.col("row.doc_id"), F.col("copy.epoch")]
     return out.repartitionByRange(*at).sortWithinPartitions(*at).select(*[c.alias(k) for k, c in columns.items()])
 

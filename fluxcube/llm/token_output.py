@@ -233,12 +233,14 @@ class ShardReader:
         return np.frombuffer(self.press.decompress(frame), "<u2" if self.width == 2 else "<u4")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, shard_ids: int = 1 << 27) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, shard_ids: int = 1 << 27, order: str | None = None) -> DataFrame:
     """Encode `docs(doc_id, text, ...)`, write shards under `folder` in ascending doc_id order, return their manifest.
 
+    `order` names another column of `docs` to write by, such as a training position; its ties go by doc_id and text.
+
     `end_id` is appended to each document. The manifest has `part, seq` (shards in order), `path, n_docs, n_ids`; it is
     written, so the shards are complete when this returns. A failed or repeated task leaves files that no manifest names. Null
-    texts are empty; null ids come first; equal ids stand together, ordered by text. Other columns are not read.
+    texts are empty; null ids come first; without `order` equal ids stand together, ordered by text. Other columns are not read.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer)
@@ -265,7 +267,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], ["part", "seq", "path", "n_docs", "n_ids"])
 
-    ordered = text_frame(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    if order is None:
+        ordered = text_frame(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    else:
+        placed = text_frame(docs, "doc_id", F.col(order).alias("_order"))
+        ordered = placed.repartitionByRange("_order", "doc_id").sortWithinPartitions("_order", "doc_id", "text").select("doc_id", "text")
     return materialize(map_text(ordered, step, "part int, seq int, path string, n_docs long, n_ids long"), "shard_manifest")
 
 
@@ -298,10 +304,10 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return starts.mapInArrow(step, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, place long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:
-    """Write shards to a new folder under the shared one, and read them back."""
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1, order: str | None = None) -> DataFrame:
+    """Write shards to a new folder under the shared one, and read them back; `order` as in `write_shards`."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "shards")
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = uri if "://" in uri else uri.replace("file:", "file://", 1)
-    return read_shards(spark, uri, write_shards(docs, uri, tokenizer, end_id))
+    return read_shards(spark, uri, write_shards(docs, uri, tokenizer, end_id, order=order))

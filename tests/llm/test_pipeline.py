@@ -94,6 +94,25 @@ def test_stages_keep_columns_and_bear_odd_tables(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
+def test_curriculum_takes_effect(spark, tmp_path):
+    rows = [(k if k % 9 else None, prose(("de", "en", "es")[k % 3], 30 + k, k), "en", f"s{k % 3}", 0) for k in range(60)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(ITEMS.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    by_id = sorted((tuple(r)[::2], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is not null").collect())
+    got = corpus_pipeline.run(spark, str(tmp_path), training_order=True).orderBy("start").collect()
+    assert sorted((tuple(r)[::2], r["ids_crc32"]) for r in got if r["doc_id"] is not None) == by_id
+    assert {r[1] for r in rows if r[0] is None} and sum(r["doc_id"] is None for r in got) >= 7
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.IN_TRAINING_ORDER[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    order = [r["doc_id"] for r in docs.orderBy(corpus_pipeline.POSITION, "doc_id").collect()]
+    assert [r["doc_id"] for r in got] == order and order != sorted(order, key=lambda x: (x is not None, x))
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 @pytest.mark.parametrize("name", ["op4_chat_format", "op10_source_mix"])
 def test_query_agrees_with_sql(spark, name):
     import duckdb
