@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxcube.llm.common import components, map_text, materialize, mix64, text_frame, worker_cache
@@ -309,9 +309,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id is the smallest of their component, with the columns of `docs`; of rows with equal ids one."""
-    kept = jaccard_components(docs, words, percent).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each component, by ascending doc_id (null last), with the columns of `docs`.
+
+    Only copies go: rows without an id, and different texts under one id, are documents of their own; of those with one id
+    the text with the smallest MD5 is first. Rows with equal id and text are one document. Rows without an id and without
+    words stay.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    key = [F.col("_late"), F.col("doc_id"), F.col("_mark")]
+    rows = docs.withColumns({"_late": F.col("doc_id").isNull(), "_mark": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
+    # one range shuffle serves the window and the numbers, which ascend with the id
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(F.to_json(F.struct("doc_id", *others)), "text"))
+    rows = rows.repartitionByRange(*key).withColumn("_again", again).where("_late or _again = 1").sortWithinPartitions(*key)
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "numbered")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def brute_force(texts: dict[int, str | None], words: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -149,6 +149,17 @@ def test_ngram_sets_of_odd_tables(spark):
     assert ngram_join.jaccard_components(df.where("false")).count() == 0
 
 
+def test_first_copies_with_null_and_shared_ids(spark):
+    rows = [(None, "u v w x y z", "en"), (None, "a b c d e f", "en"), (None, "k l m n o p", "en"), (None, "k l m n o p", "de"), (None, None, None), (None, None, "en")]
+    rows += [(5, "a b c d e f", "en"), (7, "a b c d e f", None), (7, "q r s t u v w", "en"), (7, "one two three", "en"), (7, "one two three", "de"), (8, None, None), (8, "", None), (9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = ngram_join.keep_first(df)
+    assert got.columns == df.columns
+    key = lambda r: str(r)
+    want = [(None, "u v w x y z"), (None, "k l m n o p"), (None, ""), (None, ""), (5, "a b c d e f"), (7, "q r s t u v w"), (7, "one two three"), (8, ""), (9, "")]
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 400))
 def test_bitmaps_never_see_too_much(a, b, keep):
