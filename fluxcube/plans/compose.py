@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxcube.cube import Cube
-from fluxcube.meta import CubeError, CubeMeta
+from fluxcube.meta import CubeError, CubeMeta, DimensionNotExistingError
 from fluxcube.operators.select import condition, loc, select_no_scalar_dimension
 from fluxcube.operators.validate import ensure_valid
 from fluxcube.plans.definitions import PriorityDefinition, StrategyDefinition, StrategyUnableToProcess, matches
-from fluxcube.plans.strategies import EPOCH, SubstitutionStrategy
+from fluxcube.plans.strategies import EPOCH
 from fluxcube.session import ship_package
 
 STEPS = "array<struct<time:array<string>,function:string,description:string,source:string>>"
@@ -53,7 +53,10 @@ def _result_meta(cube: Cube, dims: Sequence[str]) -> CubeMeta:
 
 
 def compose_substitution(cube: Cube, priorities: PriorityDefinition) -> Cube:
-    """Of each cell the value of the first source that has one: one aggregation, no Python on the executors."""
+    """Of each cell the value of the first source that has one: one aggregation, no Python on the executors.
+
+    Values alone: no processing table, and a series that no priority fits has no cells.
+    """
     priorities.check()
     dims = cube.meta.resolve_all(priorities.priority_dimensions)
     keys = [k for k in cube.keys if k not in dims]
@@ -142,6 +145,17 @@ def compose(cube: Cube, priorities: PriorityDefinition, strategies: StrategyDefi
     return done
 
 
+def _by_columns(meta: CubeMeta, selector: Mapping[str, Any]) -> dict[str, Any]:
+    """A selector that names dimensions by their columns; names that the cube doesn't know stay."""
+    names = {}
+    for k in selector:
+        try:
+            names[k] = k if k in ("entity", "variable") else meta.resolve(k)
+        except DimensionNotExistingError:
+            names[k] = k
+    return {names[k]: v for k, v in selector.items()}
+
+
 def create_composite_source(
     cube: Cube,
     priorities: PriorityDefinition,
@@ -154,7 +168,8 @@ def create_composite_source(
 ) -> Cube:
     """Filter, compose, give the priority dimensions their new single values, set attributes and validate.
 
-    `result_prio_coords`: dimension -> {"value": ..., "terminology": ... (optional)}.
+    `result_prio_coords`: dimension -> {"value": ..., "terminology": ... (optional)}. Every plan goes through `compose`, so
+    steps are kept and a series that no priority fits is an error; `compose_substitution` is the faster one without both.
     """
     limits = dict(limit_coords or {})
     names = limits.pop("variable", None)
@@ -163,8 +178,9 @@ def create_composite_source(
     cube = select_no_scalar_dimension(cube, {k: [v] if isinstance(v, str) else v for k, v in limits.items()})
     if time_range is not None:
         cube = loc(cube, {"time": slice(*time_range)})
-    plain = all(isinstance(s, SubstitutionStrategy) and not sel for sel, s in strategies.strategies) and bool(strategies.strategies)
-    done = compose_substitution(cube, priorities) if plain else compose(cube, priorities, strategies)
+    named = lambda selectors: [_by_columns(cube.meta, x) for x in selectors]
+    by_columns = PriorityDefinition(cube.meta.resolve_all(priorities.priority_dimensions), named(priorities.priorities), named(priorities.exclude_input), named(priorities.exclude_result))
+    done = compose(cube, by_columns, StrategyDefinition([(_by_columns(cube.meta, x), s) for x, s in strategies.strategies]))
     df, meta = done.df, done.meta
     for dim, spec in result_prio_coords.items():
         df = df.withColumn(dim, F.lit(spec["value"]))

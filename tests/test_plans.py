@@ -128,6 +128,19 @@ def test_own_strategy_and_wrapper(spark):
     assert not done.remove_processing_info().has_processing_info()
 
 
+def test_wrapper_keeps_steps_of_substitution(spark):
+    plan, as_mix = StrategyDefinition([({}, SubstitutionStrategy())]), {"source": {"value": "mix"}}
+    rows = [("COL", "A", 2000, "CO2", 1.0), ("COL", "B", 2000, "CO2", 2.0), ("COL", "B", 2001, "CO2", 2.0), ("ARG", "A", 2000, "CO2", n), ("ARG", "B", 2001, "CO2", 7.0), ("BOL", "A", 2000, "CO2", 3.0), ("BOL", "B", 2000, "CO2", 4.0)]
+    prio = PriorityDefinition(["source"], PRIO.priorities, exclude_input=[{"area (ISO3)": "BOL", "source": "A"}])
+    done = compose.create_composite_source(make(spark, rows), prio, plan, result_prio_coords=as_mix)
+    assert values(done, "area", "time") == {("COL", 2000): 1, ("COL", 2001): 2, ("ARG", 2001): 7, ("BOL", 2000): 4}
+    info = {(r["area"], r["source"]): (r["time"], r["description"]) for r in compose.processing_info(done).collect()}
+    assert info[("COL", "'B'")][0] == ["2001-01-01"] and info[("COL", "'A'")][0] == ["2000-01-01"]
+    assert "fully NaN" in info[("ARG", "'A'")][1] and "excluded" in info[("BOL", "'A'")][1]
+    with pytest.raises(Exception, match="No priority fits"):
+        compose.create_composite_source(make(spark, [*rows, ("PER", "C", 2000, "CO2", 9.0)]), PRIO, plan, result_prio_coords=as_mix).df.collect()
+
+
 def test_gap_rows(spark):
     cube = make(spark, [("A", "S", y, "CO2", v) for y, v in ((2000, n), (2001, 1.0), (2002, n), (2003, n), (2004, 1.0), (2005, n))])
     got = sorted((r["gap_type"], r["first"].year, r["last"].year, r["n_cells"]) for r in gaps(cube).collect())
