@@ -162,7 +162,7 @@ def id_width(path: str) -> int:
 
 def train_dictionary(docs: DataFrame, path: str, width: int, sample: int = 800, size: int = 1 << 16) -> bytes:
     """A zstandard dictionary of at most `size` bytes from the id arrays of the `sample` documents with the smallest hash of
-    their id. The sample is bounded as the dictionary is; it decides the size of the output, never its content."""
+    their id. The sample is bounded as the dictionary is, to the first 64 KB of each text; it decides the size of the output, never its content."""
     ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     texts = [(r[0] or "").encode()[: 1 << 16].decode(errors="ignore").encode() for r in docs.where(F.col("doc_id").isin(ids)).select("text").collect()]
     try:
