@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,9 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset a local session gets one of its
+    own; on a cluster that would scatter tables over the executors' disks, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxcube-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -51,17 +56,25 @@ def _remove(spark: SparkSession, path: str) -> None:
             return
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete one scratch table that nothing will read again."""
-    _remove(spark, path)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing will read again: what was made from them must be written by now."""
+    for df in tables:
+        ref, path = _written.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            _remove(df.sparkSession, path)
 
 
 def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
@@ -80,6 +93,13 @@ def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(lambda batches: fn(cut(batches)), schema)
 
 
+def thin(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binary_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, end to end, and its n + 1 offsets."""
     wide = column.cast(pa.large_binary())
@@ -166,7 +186,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 40)
 
     before = None
     for _ in range(max_rounds):
-        now = materialize(step(now), name)
+        last, now = now, materialize(step(now), name)
+        release(last)
         stats = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         state = (stats["n"], stats["h"])
         if state == before:

@@ -3,12 +3,15 @@
 1. Equal sets are one node, whatever the number of copies. A sketch of document frequencies (a fixed number of counters,
    filled from all documents) gives a global order of n-grams, rare ones first, ties by hash. Any such order makes the
    prefix filter exact; the sketch's errors cost time only.
-2. Each set posts the n-grams of its prefix. Sorted by n-gram, posts that stand alone drop out.
+2. Each set posts the n-grams of its prefix, once a task. Sorted by n-gram, posts that stand alone drop out.
 3. First round: each post meets one post of its n-gram, chosen by hash. Links found here join most of a group of near
-   copies, without any group ever being paired with itself. Second round: posts of one n-gram that are not yet in one
-   component meet. Every pair that could join two components is seen, each pair once.
-4. A pair passes if its lengths fit, if enough n-grams can still follow the shared one, and if parity bitmaps of the two
-   sets don't already show too many differences (a suffix filter by hashed halves). Then its texts decide.
+   copies, without any group ever being paired with itself.
+4. Second round: posts of one n-gram that are not yet in one component meet in bounded chunks. A pair is a candidate if its
+   lengths fit, if enough n-grams can still follow the shared one, and if parity bitmaps of the two sets don't already
+   show too many differences (a suffix filter by hashed halves). A meeting with few candidates hands them on, and their texts
+   decide, once for each distinct pair. A meeting with many names its members instead: their texts come to that meeting and
+   the pairs are decided there, each under the first n-gram that both prefixes have, links joined as they are found.
+   Either way a meeting hands on a few rows for each post, never the pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import components, map_text, materialize, mix64, text_frame, worker_cache
+from fluxcube.llm.common import components, map_text, materialize, mix64, release, text_frame, thin, worker_cache
 
 SKETCH_BITS = 18
 SLICES = 64
@@ -122,20 +125,31 @@ def least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix(s: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
+    """The n-grams of a set of which any similar set has one, in the global order."""
+    rank = classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    return s[np.lexsort((s, rank))[: len(s) - least(len(s), percent) + 1]]
+
+
 def _posts(batches: Iterator[pa.RecordBatch], words: int, percent: int, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The prefix of each distinct set that a task meets."""
     sets = shingler(words)
+    posted: set[bytes] = set()  # 16 bytes for each distinct set of the task
     for batch in batches:
         cols: list[list] = [[], [], [], []]
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             s = sets(text)
             n = len(s)
-            if not n:
+            if not n or doc_id is None:
+                continue
+            node = xxhash.xxh3_128_digest(s.tobytes())
+            if node in posted:
                 continue
-            size = n - least(n, percent) + 1
-            rank = classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            first = s[np.lexsort((s, rank))[:size]]
+            posted.add(node)
+            first = prefix(s, percent, classes)
+            size = len(first)
             cols[0].append(first.view(np.int64))
-            cols[1] += [xxhash.xxh3_128_digest(s.tobytes())] * size
+            cols[1] += [node] * size
             cols[2].append(np.full(size, n, np.int32))
             cols[3].append(np.arange(size, dtype=np.int32))
         if cols[0]:
@@ -190,50 +204,175 @@ def _similar_maps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-GROUP = 4096  # posts of one n-gram that meet in one task
+GROUP = 1024  # posts of one n-gram in a chunk, on average
+GROUP_GRAMS = 1 << 20  # and n-grams of their sets
+CANDIDATES = 4  # what a meeting hands on as pairs, for each of its posts
+
+
+class Bitmaps:
+    """Parity bitmaps of a meeting as matrices, one for each length, the longer ones folded down to it."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.width = np.array([len(m) // 8 for m in maps])
+        self.at = np.arange(len(maps))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        wider = np.zeros((0, 0), np.uint64)
+        rows = np.zeros(0, np.int64)
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            while wider.shape[1] > w:
+                half = wider.shape[1] // 2
+                wider = wider[:, :half] ^ wider[:, half:]
+            own = np.flatnonzero(self.width == w)
+            plain = np.frombuffer(b"".join(maps[k] for k in own.tolist()), np.uint64).reshape(len(own), w)
+            wider = np.concatenate([wider, plain]) if len(rows) else plain
+            rows = np.concatenate([rows, own])
+            place = np.zeros(len(maps), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.tables[w] = (place, wider)
+
+    def differences(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The lower bound `differences` of row `x` and each of `others`."""
+        out = np.zeros(len(others), np.int64)
+        width = np.minimum(self.width[x], self.width[others])
+        for w in np.unique(width).tolist():
+            here = width == w
+            place, table = self.tables[w]
+            out[here] = np.bitwise_count(table[place[x]] ^ table[place[others[here]]]).sum(axis=1)
+        return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple] | None]:
+    """Runs of rows with equal first `key` columns; None at the end of each batch."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:key] != held[0][:key]:
+                yield held
+                held = []
+            held.append(row)
+        yield None
+    if held:
+        yield held
+    yield None
+
+
+MEETING = "gram long, i int, j int, side int, label long, a long, b long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Posts sorted by (gram, i, j) -> pairs that pass all filters and are not in one component; a group is at most two
-    chunks of `GROUP` posts or so, and what it holds are bitmaps."""
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, most: int = CANDIDATES) -> Iterator[pa.RecordBatch]:
+    """Posts sorted by (gram, i, j) -> candidates (a, b) that pass all filters and are not in one component; of a meeting with
+    more than `most` a post the posts that have some instead, as (gram, i, j, side, label, a). A meeting is two
+    chunks at most, and what it holds are bitmaps."""
+    names = [f.split()[0] for f in MEETING.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    seen: set[tuple[int, int]] = set()  # pairs that this task has let out; only saves rows
+    out: list[tuple] = []
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        gram, i, j = rows[0][:3]
+    def meeting(rows: list[tuple]) -> None:
+        i, j = rows[0][1:3]
         side = np.array([r[3] for r in rows])
         doc, n, pos, label = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
-        maps = [r[8] for r in rows]
         left = np.flatnonzero(side == 0)
         right = left if i == j else np.flatnonzero(side == 1)
-        found = []
+        maps = None
+        pairs: list[tuple[int, int]] = []
+        some = np.zeros(len(rows), bool)
+        many = False
         for x in left.tolist():
             y = right[(label[right] != label[x]) & ((doc[right] > doc[x]) if i == j else True)]
             y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
             need = -(-percent * (n[y] + n[x]) // (100 + percent))
             y = y[np.minimum(n[y] - pos[y], n[x] - pos[x]) >= need]
             if len(y):
-                y = y[_close([maps[x]] * len(y), [maps[k] for k in y.tolist()], n[x], n[y], percent)]
-                found += [(min(doc[x], d), max(doc[x], d)) for d in doc[y].tolist()]
-        return found
-
-    held: list[tuple] = []
-    seen: set[tuple[int, int]] = set()  # pairs that this task has let out; only saves rows
+                maps = maps or Bitmaps([r[8] for r in rows])
+                y = y[maps.differences(x, y) * (100 + percent) <= (100 - percent) * (n[x] + n[y])]
+                some[x] |= len(y) > 0
+                some[y] = True
+                if not many:
+                    pairs += [(min(doc[x], d), max(doc[x], d)) for d in doc[y].tolist()]
+                    many = len(pairs) > most * len(rows)
+        if many:
+            out.extend((*rows[k][:4], rows[k][7], rows[k][4], None) for k in np.flatnonzero(some).tolist())
+            return
+        for a, b in pairs:
+            if (a, b) not in seen:
+                out.append((None, None, None, None, None, int(a), int(b)))
+                if len(seen) < 500_000:
+                    seen.add((a, b))
+
+    for rows in _groups(batches, 3):
+        if rows is not None:
+            meeting(rows)
+        elif out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+            out.clear()
+
+
+def _verify_meetings(batches: Iterator[pa.RecordBatch], words: int, percent: int, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, i, j, side, label, a, packed text) sorted by (gram, i, j) -> links that join components, as (a, b).
+
+    A pair is decided under the first n-gram that both prefixes have, so in one meeting alone, and not at all once its
+    sets are in one component."""
+    sets = shingler(words)
+    unpack = zstandard.ZstdDecompressor().decompress
+    out: list[tuple[int, int]] = []
+
+    def meeting(rows: list[tuple]) -> None:
+        gram = np.array(rows[0][0], np.int64).view(np.uint64)
+        own, early, kept = [], [], []
+        for r in rows:
+            s = sets(unpack(r[6]))
+            first = prefix(s, percent, classes)
+            at = np.flatnonzero(first == gram)
+            if len(at):  # else another text under this id
+                own.append(s)
+                early.append(first[: at[0]])
+                kept.append(r)
+        if len(kept) < 2:
+            return
+        n = np.array([len(s) for s in own], np.int64)
+        pos = np.array([len(e) for e in early], np.int64)
+        terms, flat = np.unique(np.concatenate(own), return_inverse=True)
+        cells = np.split(flat, np.cumsum(n)[:-1])
+        none = len(terms)  # ends each list of early n-grams, so that none is empty
+        before = [np.append(np.searchsorted(terms, e), none) for e in early]
+        side = np.array([r[3] for r in kept])
+        doc = np.array([r[5] for r in kept], np.int64)
+        group = np.unique(np.array([r[4] for r in kept], np.int64), return_inverse=True)[1]
+        left = np.flatnonzero(side == 0)
+        right = left if rows[0][1] == rows[0][2] else np.flatnonzero(side == 1)
+        mark, early_mark = np.zeros(none + 1, bool), np.zeros(none + 1, bool)
 
-    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        new = {p for p in found if p not in seen}
-        if len(seen) < 500_000:
-            seen.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], ["a", "b"])
+        def counts(lists: list[np.ndarray], y: np.ndarray, marks: np.ndarray) -> np.ndarray:
+            part = [lists[k] for k in y.tolist()]
+            heads = np.cumsum([0, *map(len, part)])[:-1]
+            return np.add.reduceat(marks[np.concatenate(part)].astype(np.int64), heads)
 
-    for batch in batches:
-        found = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[:3] != held[0][:3]:
-                found += pairs(held)
-                held = []
-            held.append(row)
-        yield batch_of(found)
-    if held:
-        yield batch_of(pairs(held))
+        for x in left.tolist():
+            y = right[(group[right] != group[x]) & (doc[right] != doc[x]) & ((right > x) if right is left else True)]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            y = y[np.minimum(n[y] - pos[y], n[x] - pos[x]) >= -(-percent * (n[y] + n[x]) // (100 + percent))]
+            if not len(y):
+                continue
+            early_mark[before[x][:-1]] = True
+            y = y[counts(before, y, early_mark) == 0]
+            early_mark[before[x][:-1]] = False
+            if not len(y):
+                continue
+            mark[cells[x]] = True
+            both = counts(cells, y, mark)
+            mark[cells[x]] = False
+            for k in y[100 * both >= percent * (n[x] + n[y] - both)].tolist():
+                if group[k] != group[x]:
+                    out.append((int(min(doc[x], doc[k])), int(max(doc[x], doc[k]))))
+                    group[group == group[k]] = group[x]
+
+    for rows in _groups(batches, 3):
+        if rows is not None:
+            meeting(rows)
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+            out.clear()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -262,28 +401,33 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Sets hold the distinct `words`-word shingles of a text, A-Z lower-cased, words cut at ASCII white space; a shorter
     text is one shingle, a text without words (or null) has none and links with nothing. Documents link when 100 *
     intersection >= `percent` * union; `component_id` is the smallest doc_id reachable. Other columns are not read.
-    Repeated rows give repeated results; doc_ids should not be null.
+    Repeated rows give repeated results. A row without an id has its number of shingles, a null component and links nothing.
+    Where rows with different texts share an id, each gets the component of its own text. Texts are read whole,
+    however long; the memory of a task follows the longest text and a bounded number of n-grams.
     """
     texts = text_frame(docs, "doc_id")
     described = materialize(map_text(texts, lambda b: _describe(b, words), "doc_id long, n long, node binary, bitmap binary"), "described")
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_frequency_classes(described))  # 2^18 bytes
     own = described.where("n >= 0")
-    nodes = materialize(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+    nodes = materialize(own.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
     posts = map_text(texts, lambda b: _posts(b, words, percent, order.value), "gram long, node binary, n int, pos int")
     posts = materialize(posts.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_not_alone, "gram long, node binary, n int, pos int"), "posts")
     # nodes are named by the smallest doc_id from here on
     named = materialize(posts.join(nodes.select("node", "doc_id"), "node").select("gram", "doc_id", "n", "pos"), "named_posts")
+    release(posts)
+
+    def packed_texts(wanted: DataFrame, name: str) -> DataFrame:
+        """Texts of the ids in the column `doc_id`, packed before the shuffle; a merge join at any size, as both sides grow
+        with the corpus. An id with several texts brings them all."""
+        return materialize(map_text(texts, _pack_texts, "doc_id long, packed binary").hint("merge").join(wanted.distinct(), "doc_id", "left_semi").distinct(), f"{name}_texts")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct candidate pairs (a, b), a < b, whose bitmaps are close."""
-        near = materialize(pairs, f"{name}_candidates")
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        # packed before the shuffle; a merge join at any size, as both sides grow with the corpus
-        packed = materialize(map_text(texts, _pack_texts, "doc_id long, packed binary").hint("merge").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}_texts")
-        both = near.join(packed.toDF("b", "text_b"), "b").join(packed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"), f"{name}_links")
+    def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+        """Links among distinct candidate pairs (a, b), a < b."""
+        both = pairs.join(packed.toDF("b", "text_b"), "b").join(packed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long")
 
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     # first round: a pivot for each n-gram; by one of a few orders of sets, so that a set meets several members of its
     # group, and n-grams of one group mostly agree on their pivots
     order_of = F.pmod("gram", F.lit(PIVOT_ORDERS))
@@ -292,20 +436,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     pairs = met.where((F.col("doc_id") != F.col("other")) & _fits(percent)).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     facts = nodes.select("doc_id", "bitmap", "n")
     mapped = pairs.join(facts.toDF("a", "map_a", "n_a"), "a").join(facts.toDF("b", "map_b", "n_b"), "b").select("a", "b", "map_a", "map_b", "n_a", "n_b")
-    first = verified(mapped.mapInArrow(lambda b: _similar_maps(b, percent), "a long, b long"), "first")
+    near = materialize(mapped.mapInArrow(lambda b: _similar_maps(b, percent), "a long, b long"), "first_candidates")
+    packed = packed_texts(ends(near), "first")
+    first = materialize(verified(near, packed), "first_links")
+    release(near, packed)
     label = components(first, "first_components")
     # second round: what is still apart within an n-gram; large groups meet by chunks
     labelled = named.join(label, named["doc_id"] == label["id"], "left").select("gram", "doc_id", "n", "pos", F.coalesce("component_id", "doc_id").alias("label"))
-    apart = labelled.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / GROUP).cast("int").alias("k")).where("l0 <> l1").select("gram", "k")
+    chunks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_GRAMS)).cast("int")
+    apart = labelled.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), chunks.alias("k")).where("l0 <> l1").select("gram", "k")
     own_chunk = F.pmod(F.xxhash64("doc_id"), F.col("k").cast("long")).cast("int")
     rest = labelled.join(apart, "gram").join(nodes.select("doc_id", "bitmap"), "doc_id").withColumn("c", own_chunk)
     meetings = F.expr("transform(sequence(0, k - 1), x -> struct(least(c, x) as i, greatest(c, x) as j, if(x < c, 1, 0) as side))")
     rest = rest.select("gram", F.explode(meetings).alias("m"), "doc_id", "n", "pos", "label", "bitmap").select("gram", "m.i", "m.j", "m.side", "doc_id", "n", "pos", "label", "bitmap")
-    more = rest.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(lambda b: _meet(b, percent), "a long, b long").distinct()
-    second = verified(more.join(first, ["a", "b"], "left_anti"), "second")
-    links = components(first.union(second), "ngram_components")
-    by_node = nodes.join(links, nodes["doc_id"] == links["id"], "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return own.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rest = rest.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    most = CANDIDATES
+    found = materialize(rest.mapInArrow(lambda b: _meet(b, percent, most), MEETING), "meetings")
+    few, many = found.where("gram is null").select("a", "b").distinct(), found.where("gram is not null").drop("b")
+    packed = packed_texts(ends(few).union(many.select("a")), "second")
+    links = first.union(materialize(verified(few, packed), "second_links"))
+    if not many.isEmpty():
+        called = many.join(packed.toDF("a", "packed"), "a").select("gram", "i", "j", "side", "label", "a", "packed")
+        called = called.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+        links = links.union(materialize(called.mapInArrow(lambda b: _verify_meetings(thin(b), words, percent, order.value), "a long, b long"), "meeting_links"))
+    release(found, packed)
+    joined = components(links, "ngram_components")
+    by_node = nodes.join(joined, nodes["doc_id"] == joined["id"], "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return own.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import binary_values, map_text, materialize, mix64, text_frame
+from fluxcube.llm.common import binary_values, map_text, materialize, mix64, text_frame, thin
 
 GRAM = 16
 CHUNK = 1 << 21  # bytes of text in one numpy step
@@ -326,7 +326,7 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     blocks = F.when(F.col("v").isNull(), F.lit(-1)).otherwise(F.pmod(F.col("fp"), F.ceil(F.col("v") / max_variants).cast("long"))).cast("int")
     placed = variants.join(wide, "h", "left").withColumn("blk", blocks)
     wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "blk", "fp", "start", "n_win", "anchor")).alias("wanted"))
-    fetched = _packed(docs).join(wanted, "doc_id").select("packed", "wanted").mapInArrow(lambda b: _fetch(_thin(b), min_len), "h long, blk int, fp long, anchor int, run binary")
+    fetched = _packed(docs).join(wanted, "doc_id").select("packed", "wanted").mapInArrow(lambda b: _fetch(thin(b), min_len), "h long, blk int, fp long, anchor int, run binary")
     indexed = materialize(
         fetched.repartition("h", "blk").sortWithinPartitions("h", "blk").mapInArrow(lambda b: _expand(b, min_len), "h long, fp long, lo array<int>, hi array<int>, marks array<binary>"),
         "repeats",
@@ -344,12 +344,6 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     return part.union(same)
 
 
-def _thin(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def remove_repeats(docs: DataFrame, min_len: int = 200, max_variants: int = 4096) -> DataFrame:
     """Documents without the bytes covered by any `min_len`-byte string that also starts elsewhere in the corpus.
 
@@ -360,7 +354,7 @@ def remove_repeats(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     """
     spans = repeated_spans(docs, min_len, max_variants).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return _packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
-        lambda b: _clean(_thin(b)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo:bigint,hi:bigint>>"
+        lambda b: _clean(thin(b)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo:bigint,hi:bigint>>"
     )
 
 

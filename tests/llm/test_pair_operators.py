@@ -129,9 +129,10 @@ def near_copies(rng, n, base, edits):
     return out
 
 
-@pytest.mark.parametrize("words, percent, group", [(3, 90, 4096), (5, 80, 4096), (3, 90, 5), (2, 50, 4096)])
-def test_ngram_sets(spark, monkeypatch, words, percent, group):
+@pytest.mark.parametrize("words, percent, group, most", [(3, 90, 4096, 4), (5, 80, 4096, 4), (3, 90, 5, 4), (2, 50, 4096, 0), (5, 80, 5, 0), (5, 80, 4, 100)])
+def test_ngram_sets(spark, monkeypatch, words, percent, group, most):
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "CANDIDATES", most)
     rng = np.random.default_rng(words + percent)
     base = [f"b{x}" for x in rng.integers(0, 300, 150)]
     texts = [*near_copies(rng, 12, base, 2), *near_copies(rng, 12, base, 4), *near_copies(rng, 6, base, 9), *near_copies(rng, 4, [f"c{x}" for x in range(40)], 1), "a b", "A  B", "a", None, "", " \n\t", "b a", "Éa b", "éa b", "a\u00a0b c d", "x " * 300, "x x x x"]
@@ -149,6 +150,47 @@ def test_ngram_sets_of_odd_tables(spark):
     assert ngram_join.jaccard_components(df.where("false")).count() == 0
 
 
+def test_large_group_of_near_copies_hands_on_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"b{x}" for x in rng.integers(0, 3000, 150)]
+    texts = [t for edits in range(1, 11) for t in near_copies(rng, 200, base, edits)]
+    rows, plain = {}, ngram_join.materialize
+
+    def counted(df, name):
+        rows[name] = (done := plain(df, name)).count()
+        return done
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = [r["component_id"] for r in sorted(ngram_join.jaccard_components(docs(spark, dict(enumerate(texts)))).collect())]
+    assert sum(n for name, n in rows.items() if name not in ("posts", "named_posts")) < rows["posts"] + 10 * len(texts)
+    assert rows["meetings"] <= ngram_join.CANDIDATES * rows["posts"]
+    sets = [ngram_join.Shingler(5)(t.encode()) for t in texts]
+    terms = np.unique(np.concatenate(sets))
+    member = np.zeros((len(sets), len(terms)), np.float32)
+    for k, s in enumerate(sets):
+        member[k, np.searchsorted(terms, s)] = 1
+    n, both = member.sum(1), member @ member.T
+    linked = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    label = np.arange(len(sets))
+    while (new := np.array([label[x].min() for x in linked])).tolist() != label.tolist():
+        label = new
+    assert got == label.tolist() and 1 < len(set(got)) < len(got)
+
+
+def test_ngram_sets_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (None, None), (4, "x y z u v w"), (4, "a b c d e f"), (5, "x y z u v w")], "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(None, 2, None), (None, 2, None), (None, 0, None), (2, 2, 2), (3, 2, 2), (4, 2, 2), (4, 2, 4), (5, 2, 4)], key=str)
+
+
+def test_bitmap_tables_agree_with_single_bitmaps():
+    rng = np.random.default_rng(4)
+    maps = [ngram_join.bitmap(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 3000, 40, 600, 1500, 700, 2)]
+    table = ngram_join.Bitmaps(maps)
+    others = np.arange(len(maps))
+    assert all(table.differences(x, others).tolist() == [ngram_join.differences(maps[x], m) for m in maps] for x in range(len(maps)))
+
+
 def test_first_copies_with_null_and_shared_ids(spark):
     rows = [(None, "u v w x y z", "en"), (None, "a b c d e f", "en"), (None, "k l m n o p", "en"), (None, "k l m n o p", "de"), (None, None, None), (None, None, "en")]
     rows += [(5, "a b c d e f", "en"), (7, "a b c d e f", None), (7, "q r s t u v w", "en"), (7, "one two three", "en"), (7, "one two three", "de"), (8, None, None), (8, "", None), (9, None, None)]
