@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that reach a Python worker at once, so that a batch of long texts stays small.
@@ -82,6 +82,15 @@ def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def spread_pieces(text: Column, most: int = 1 << 16, pieces: int = 16) -> Column:
+    """`text`, but of one with more than `most` characters `pieces` stretches spread evenly over it, `most` characters in all.
+    For bounded training samples only."""
+    size = most // pieces
+    step = (F.length(text) - size) / (pieces - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(text, (k * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > most, F.array_join(cut, " ")).otherwise(text)
+
+
 def map_text(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` over batches re-cut to few rows, so that a worker's memory follows the text it holds."""
 

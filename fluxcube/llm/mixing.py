@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 #: Relative weight of a source at the start and at the end of training, by the rank of the source, repeating; linear between.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4096 buckets for each source
+BUCKET_DIGITS = 4  # hexadecimal digits of the hash: 65536 buckets for each source
 
 
 def word_count(text: Column) -> Column:
@@ -67,11 +67,11 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame
 
     `row` (the row of `docs` as a struct), `doc_id, size, source_size, target, taken, copies`; `copies` is an array of
     `(epoch, words, position)`. All words of a source are taken as often as its target holds its size; of the rest,
-    documents are taken in the order of the hash of their ids, the last one cropped so that the target is met to the
-    word. Null sources form a source of their own, null texts have size 0 and are taken 0 words; ties of the hash go by
+    documents are taken in the order of the hash of their ids (without an id: of their texts), the last one cropped so that
+    the target is met to the word. Null sources form a source of their own, null texts have size 0 and are taken 0 words; ties of the hash go by
     id and size. An empty table gives an empty result. Reruns agree.
     """
-    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # so that a null source joins like any other
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), mark.alias("mark"), F.substring(mark, 1, BUCKET_DIGITS).alias("bucket"))
     buckets = materialize(rows.groupBy("source", "key", "bucket").agg(F.sum("size").alias("size")), "mix_buckets")
@@ -98,8 +98,44 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame
     return placed.select("row", "doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("rest")).alias("taken"), copies.alias("copies"))
 
 
-def digest(plan: DataFrame) -> DataFrame:
-    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("copies").cast("long").alias("n_copies"), F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"))
+#: How copies stand in training: by position, ties by id and epoch.
+ORDER = ("position", "doc_id", "epoch")
+
+
+def in_order(copies: DataFrame) -> DataFrame:
+    """`copies` range-sorted by their training position: every task gets a stretch of it, sorted."""
+    return copies.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+
+def ranked(plan: DataFrame) -> DataFrame:
+    """The copies of a plan, numbered in training order from 1: `rank, position, epoch, words` and the plan's other columns.
+
+    Stretches number their own rows; how many rows stand before a stretch is summed over one row for each stretch.
+    """
+    others = [c for c in plan.columns if c != "copies"]
+    copies = plan.select(*others, F.explode("copies").alias("c")).select(*others, "c.epoch", "c.words", "c.position")
+    own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialize(in_order(copies).select("*", F.spark_partition_id().alias("stretch"), own.alias("place")), "mix_order")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("stretch").agg(F.count("*").alias("n")).select("stretch", before.alias("before"))
+    # broadcast: as many rows as the sort has partitions
+    return placed.join(F.broadcast(starts), "stretch").select(*others, "epoch", "words", "position", (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
+def source_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row for each row of `docs`: `doc_id, size, source_size, target, taken, n_copies, first_position, first_rank`, where
+    nothing is taken null and 0; counted from the copies as they stand in training order."""
+    plan = plan_mix(docs, share, cap).select(F.monotonically_increasing_id().alias("id"), "doc_id", "size", "source_size", "target", "copies")
+    plan = materialize(plan, "mix_plan")  # without texts
+    first = F.min_by(F.struct("position", "rank"), "epoch")
+    taken = ranked(plan.select("id", "doc_id", "copies")).groupBy("id").agg(F.sum("words").alias("taken"), F.count("*").alias("n_copies"), first.alias("first"))
+    found = plan.select("id", "doc_id", "size", "source_size", "target").join(taken.hint("merge"), "id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return found.select("doc_id", "size", "source_size", "target", zero("taken"), zero("n_copies"), F.col("first.position").alias("first_position"), F.coalesce("first.rank", F.lit(0)).cast("long").alias("first_rank"))
+
+
+def digest(found: DataFrame) -> DataFrame:
+    return found.withColumns({"target": F.round("target", 6), "first_position": F.round("first_position", 6)})
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, position: str | None = None) -> DataFrame:
@@ -109,22 +145,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, position: str | N
     A cropped copy holds its first words, joined by single spaces, and its number of characters in `n_chars` if there is
     such a column.
     """
-    out = plan_mix(docs, share, cap).select("row", "size", F.explode("copies").alias("copy"))
-    cropped = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words").cast("int")), " ")
-    partial = F.col("copy.words") < F.col("size")
+    out = plan_mix(docs, share, cap).select("row", "size", "doc_id", F.explode("copies").alias("copy")).select("row", "size", "doc_id", "copy.*")
+    cropped = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    partial = F.col("words") < F.col("size")
     columns = {c: F.col("row")[c] for c in docs.columns}
     columns["text"] = F.when(partial, cropped).otherwise(F.col("row.text"))
     if "n_chars" in columns:
         columns["n_chars"] = F.when(partial, F.length(cropped).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     if position:
-        columns[position] = F.col("copy.position")
-    at = [F.col("copy.position"), F.col("row.doc_id"), F.col("copy.epoch")]
-    return out.repartitionByRange(*at).sortWithinPartitions(*at).select(*[c.alias(k) for k, c in columns.items()])
+        columns[position] = F.col("position")
+    return in_order(out).select(*[c.alias(k) for k, c in columns.items()])
 
 
 ORACLE = r"""
 with d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as mark from documents
+  select doc_id, source, cast(len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), "text", '')) as mark from documents
 ), s as (
   select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as r from d group by source
 ), w as (
@@ -144,9 +179,15 @@ with d as (
 ), q as (select *, case when source_size > 0 then goal // source_size else 0 end as full_ from p
 ), x as (select *, greatest(0, least(size, goal - full_ * source_size - begin_)) as rest from q
 ), y as (
-  select *, case when size = 0 then 0 else full_ + (rest > 0)::int end as n_copies, cast(begin_ as double) / nullif(goal, 0) * (rate0 + rate1) / 2 as need, rate1 - rate0 as slope from x
+  select *, case when size = 0 then 0 else full_ + (rest > 0)::int end as n_copies, row_number() over () as id from x
+), e as (
+  select id, doc_id, epoch, case when epoch < full_ then size else rest end as words, rate0, rate1 - rate0 as slope,
+    cast(epoch * source_size + begin_ as double) / nullif(goal, 0) * (rate0 + rate1) / 2 as need
+  from (select *, unnest(range(cast(n_copies as bigint))) as epoch from y)
+), o as (select *, case when slope = 0 then need / rate0 else (sqrt(rate0 * rate0 + 2 * slope * need) - rate0) / slope end as position from e
+), r as (select *, row_number() over (order by position, doc_id, epoch) as rank from o
+), m as (select id, cast(sum(words) as bigint) as taken, count(*) as n_copies, arg_min(position, epoch) as position, arg_min(rank, epoch) as rank from r group by id
 )
-select doc_id, size, source_size, round(target, 6) as target, cast(full_ * size + rest as bigint) as taken, cast(n_copies as bigint) as n_copies,
-  case when n_copies > 0 then round(case when slope = 0 then need / rate0 else (sqrt(rate0 * rate0 + 2 * slope * need) - rate0) / slope end, 6) end as first_position
-from y
+select doc_id, size, source_size, round(target, 6) as target, coalesce(taken, 0) as taken, coalesce(m.n_copies, 0) as n_copies, round(position, 6) as first_position, coalesce(rank, 0) as first_rank
+from y left join m using (id)
 """

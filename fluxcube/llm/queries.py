@@ -59,7 +59,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.plan_mix(read_table(spark, sf_dir, "documents")))
+    return mixing.digest(mixing.source_mix(read_table(spark, sf_dir, "documents")))
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
