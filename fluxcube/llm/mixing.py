@@ -188,6 +188,6 @@ with d as (
 ), r as (select *, row_number() over (order by position, doc_id, epoch) as rank from o
 ), m as (select id, cast(sum(words) as bigint) as taken, count(*) as n_copies, arg_min(position, epoch) as position, arg_min(rank, epoch) as rank from r group by id
 )
-select doc_id, size, source_size, round(target, 6) as target, coalesce(taken, 0) as taken, coalesce(m.n_copies, 0) as n_copies, round(position, 6) as first_position, coalesce(rank, 0) as first_rank
+select doc_id, size, source_size, round(target, 6) as target, coalesce(taken, 0) as taken, coalesce(m.n_copies, 0) as n_copies, round(position, 6) + 0.0 as first_position, coalesce(rank, 0) as first_rank
 from y left join m using (id)
 """
