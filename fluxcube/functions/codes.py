@@ -5,13 +5,15 @@ Spellings are translated once for each distinct value, on the driver, and reach
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.functions.units import GWP
+log = logging.getLogger(__name__)
 
 # What table readers take for a missing cell, and the notation keys that mean zero or missing.
 BLANKS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -20,6 +22,10 @@ MISSING_CODES = ("NE", "NA", "FX")
 SPECIAL_CODES = {"C": None, "CC": None, "CH4": None, "nan": None, "NaN": None, "-": 0.0, "NE0": None, "NE(1)": None, "FX": None}
 
 
+#: What counts as a number; digits may be grouped by single underscores.
+NUMBER = r"[+-]?((([0-9](_?[0-9])*)\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?|(?i:inf(inity)?))"
+
+
 class CodeError(ValueError):
     """A cell that is neither a number nor a known notation key."""
 
@@ -29,10 +35,11 @@ def parse_code(code: str) -> float | None:
     text = code.strip()
     if text in SPECIAL_CODES:
         return SPECIAL_CODES[text]
-    try:
-        return None if text in BLANKS else float(re.sub(r"\s*\([0-9]+\)$", "", text))
-    except ValueError:
-        pass
+    if text in BLANKS:
+        return None
+    number = re.sub(r"\s*\([0-9]+\)$", "", text)
+    if re.fullmatch(NUMBER, number):
+        return float(number)
     parts = {p.strip().replace(".", "").upper() for p in text.split(",")}
     if "FX" in parts:
         return None
@@ -46,8 +53,8 @@ def parse_code(code: str) -> float | None:
 def parse_code_column(c: Column) -> tuple[Column, Column]:
     """`parse_code` as column expressions: the value, and whether the cell could not be read."""
     text = F.trim(c)
-    number = F.regexp_replace(text, r"\s*\([0-9]+\)$", "").try_cast("double")
-    number = F.when(~F.isnan(number), number)
+    plain = F.regexp_replace(text, r"\s*\([0-9]+\)$", "")
+    number = F.when(plain.rlike(f"^{NUMBER}$"), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
     parts = F.transform(F.split(text, ","), lambda p: F.upper(F.replace(F.trim(p), F.lit("."), F.lit(""))))
     has = lambda codes: F.arrays_overlap(parts, F.array(*[F.lit(x) for x in codes]))
     blank = text.isin(*BLANKS, *[k for k, v in SPECIAL_CODES.items() if v is None]) | c.isNull()
@@ -89,12 +96,19 @@ def ipcc_code(code: str) -> str:
             break
         m = re.match(pattern, rest)
         if m is None:
-            return f"error_{code}"
+            return _invalid(code)
         out.append(written(m[0]))
         rest = rest[m.end() :]
-    return f"error_{code}" if rest or len(out) == memo else ".".join(out)
+    return _invalid(code) if rest or len(out) == memo else ".".join(out)
 
 
+def _invalid(code: str) -> str:
+    log.warning("category code %r fits no level of the hierarchy", code)
+    return f"error_{code}"
+
+
+# Units of CO2 equivalents.
+EQUIVALENTS = ("CO2eq", "CO2e", "CO2-eq", "CO\u2082eq")
 #: Potentials by the suffix of an entity; without one it is the second assessment report.
 _GWP_SUFFIXES = {"SAR": "SARGWP100", "AR4": "AR4GWP100", "AR5CCF": "AR5CCFGWP100", "AR5": "AR5GWP100", "AR6": "AR6GWP100"}
 # Baskets that are given in CO2 equivalents.
@@ -113,42 +127,59 @@ def entity_name(entity: str) -> str:
 
 
 def unit_name(unit: str, entity: str) -> str:
-    """`Gg` of CH4 -> `Gg CH4 / yr`; `GgCO2eq` -> `Gg CO2 / yr`; `MtC` -> `Mt C / yr`; `GgN2ON` -> `Gg N / yr`."""
-    if not entity:
+    """`Gg` of CH4 -> `Gg CH4 / yr`; `GgCO2eq` -> `Gg CO2 / yr`; `MtC` -> `Mt C / yr`; `GgN2ON` of N2O -> `Gg N / yr`."""
+    text = unit.replace(" ", "")
+    if not entity or not text:
+        log.warning("no unit for %r of %r: one of them is empty", unit, entity)
         return f"error_{unit}_{entity}"
-    m = re.fullmatch(r"(?P<mass>(?:k|M|G|T|P|m)?[gt])\s*(?P<what>.*)", unit.strip())
+    m = re.match(r"(?:k|M|G|T|P|m)?[gt]", text)
     if m is None:
+        log.warning("no unit for %r of %r: it starts with no mass", unit, entity)
         return f"error_{unit}_{entity}"
-    what = m["what"].strip()
+    mass, what = m[0], text[m.end() :]
     basis = entity.split(" (")[0]
-    if what in ("CO2eq", "CO2 eq", "CO2-eq", "CO2e"):
-        substance = "CO2"
-    elif what in ("C", "N"):
-        substance = what
-    elif what.endswith("N") and what[:-1] in ("N2O", "NOx", "NH3"):
-        substance = "N"
-    elif not what:
-        substance = "CO2" if " (" in entity and entity.split(" (")[1].rstrip(")") in GWP else basis
-    else:
-        substance = what
-    return f"{m['mass']} {substance} / yr"
+    if what in EQUIVALENTS:
+        return f"{mass} CO2 / yr"
+    if what == "C":
+        return f"{mass} C / yr"
+    if what == f"{basis}N":
+        return f"{mass} N / yr"
+    return f"{text} {basis} / yr"
+
+
+#: Distinct spellings that are translated on the driver and broadcast; more go through a join of their own.
+MOST_BROADCAST = 100_000
 
 
 def map_distinct(df: DataFrame, columns: list[str], target: list[str], rule: Callable[..., object] | Mapping) -> DataFrame:
     """Replace `target` columns by `rule(*columns)` for each row. The rule runs once for each distinct combination."""
-    rows = [tuple(r) for r in df.select(*columns).distinct().collect()]
-    get = rule.get if isinstance(rule, Mapping) else rule
-    pairs = []
-    for r in rows:
-        if any(x is None for x in r):
-            continue
-        out = (rule.get(r[0], r[0]) if len(r) == 1 else rule.get(r)) if isinstance(rule, Mapping) else get(*r)
-        pairs.append((*r, *(out if isinstance(out, tuple) else (out,))))
-    if not pairs:
-        return df
     names = [f"_k{i}" for i in range(len(columns))] + [f"_v{i}" for i in range(len(target))]
-    table = df.sparkSession.createDataFrame(pairs, ", ".join(f"{n} string" for n in names))
+    schema = ", ".join(f"{n} string" for n in names)
+
+    def translated(rows: Iterable[tuple]) -> list[tuple]:
+        pairs = []
+        for r in rows:
+            if any(x is None for x in r):
+                continue
+            out = (rule.get(r[0], r[0]) if len(r) == 1 else rule.get(r)) if isinstance(rule, Mapping) else rule(*r)
+            pairs.append((*r, *(out if isinstance(out, tuple) else (out,))))
+        return pairs
+
+    distinct = df.select(*columns).distinct()
+    rows = [tuple(r) for r in distinct.limit(MOST_BROADCAST + 1).collect()]
+    if len(rows) <= MOST_BROADCAST:
+        pairs = translated(rows)
+        if not pairs:
+            return df
+        table = F.broadcast(df.sparkSession.createDataFrame(pairs, schema))
+    else:
+
+        def step(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame(translated(frame.itertuples(index=False, name=None)), columns=names)
+
+        table = distinct.dropna().mapInPandas(step, schema)
     cond = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(columns)]
-    joined = df.join(F.broadcast(table), cond, "left")  # one row for each distinct spelling
+    joined = df.join(table, cond, "left")
     new = {t: F.coalesce(F.col(f"_v{i}"), F.col(t)) if t in df.columns else F.col(f"_v{i}") for i, t in enumerate(target)}
     return joined.withColumns(new).drop(*names)

@@ -8,7 +8,9 @@ and the cube is converted in one join-free pass.
 from __future__ import annotations
 
 import csv
+import functools
 import logging
+import operator
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -79,7 +81,8 @@ def category_name(targets: Mapping[str, int]) -> str:
 
 @dataclass(frozen=True)
 class _Step:
-    """`target` = `scale` * sum(f * source) where `only` holds; later steps of one target replace earlier ones' cells."""
+    """`target` = `scale` * sum(f * source) where `only` holds; later steps of one target replace earlier ones' cells there,
+    with missing values too."""
 
     target: str
     sources: Mapping[str, int]
@@ -89,7 +92,12 @@ class _Step:
 
 
 def plan(conversion: Conversion) -> list[_Step]:
-    """The steps that give each target category, in order."""
+    """The steps that give each target category, in order.
+
+    A rule serves a category if it names it as a target and all its targets have positive factors. A rule with several
+    targets gives one new category, with the sum of what each target would get, and ends all of them, restricted or not;
+    a restricted rule with one target lets the next rules write, too.
+    """
     order = list(conversion.target_order) or list(dict.fromkeys(c for r in conversion.rules for c in r.targets))
     done: set[str] = set()
     steps: list[_Step] = []
@@ -97,19 +105,16 @@ def plan(conversion: Conversion) -> list[_Step]:
         if category in done:
             continue
         for rule in conversion.rules:
-            if category not in rule.targets or not all(f > 0 for f in rule.targets.values()) and len(rule.targets) == 1:
+            if category not in rule.targets or any(f <= 0 for f in rule.targets.values()):
                 continue
-            if any(t in done for t in rule.targets if t != category):
+            if done.intersection(rule.targets):
                 log.warning("rule for %s skipped: part of its output is converted already", sorted(rule.targets))
                 continue
-            if len(rule.targets) > 1:
-                # the parts can't be told apart: one new category, which counts each source for each part
-                steps.append(_Step(category_name(rule.targets), rule.sources, float(len(rule.sources)), rule.only, len(steps)))
+            several = len(rule.targets) > 1
+            scale = sum(1.0 / f for f in rule.targets.values())
+            steps.append(_Step(category_name(rule.targets) if several else category, rule.sources, scale, rule.only, len(steps)))
+            if several or not rule.only:
                 done.update(rule.targets)
-            else:
-                steps.append(_Step(category, rule.sources, 1.0 / rule.targets[category], rule.only, len(steps)))
-            if not rule.only:
-                done.add(category)
                 break
     return steps
 
@@ -126,17 +131,21 @@ def convert(cube: Cube, dim: str, conversion: Conversion, auxiliary_dimensions:
     if needed - set(aux):
         raise CubeError(f"The conversion uses auxiliary categorizations without a dimension: {sorted(needed - set(aux))}")
     column = {a: "variable" if aux[a] in ("entity", "variable") else cube.meta.resolve(aux[a]) for a in needed}
+    holds = lambda step: F.lit(True) if not step.only else functools.reduce(operator.and_, [F.col(column[a]).isin(*values) for a, values in step.only.items()])
     hits = []
-    for s in steps:
+    for k, s in enumerate(steps):
         weight = F.lit(None).cast("double")
         for code, f in s.sources.items():
             weight = F.when(F.col(dim) == code, F.lit(float(f))).otherwise(weight)
-        for a, values in s.only.items():
-            weight = F.when(F.col(column[a]).isin(*values), weight)
-        hits.append(F.when(weight.isNotNull(), F.struct(F.lit(s.target).alias("t"), F.lit(s.order).alias("o"), (weight * F.lit(s.scale)).alias("w"))))
-    exploded = cube.df.where("value is not null").withColumn("_h", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
-    by_step = exploded.withColumn(dim, F.col("_h.t")).groupBy(*cube.keys, F.col("_h.o").alias("_o")).agg(F.sum(F.col("value") * F.col("_h.w")).alias("value"))
-    df = by_step.groupBy(*cube.keys).agg(F.max_by("value", "_o").alias("value"))
+        # the last step that holds for a cell writes it; restrictions are on dimensions that all sources of a cell share
+        writes = holds(s)
+        for later in steps[k + 1 :]:
+            if later.target == s.target:
+                writes = writes & ~holds(later)
+        hits.append(F.when(weight.isNotNull() & writes, F.struct(F.lit(s.target).alias("t"), (weight * F.lit(s.scale)).alias("w"))))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.lit(None).cast("array<struct<t:string,w:double>>")
+    exploded = cube.df.where("value is not null").withColumn("_h", F.explode(found))
+    df = exploded.withColumn(dim, F.col("_h.t")).groupBy(*cube.keys).agg(F.sum(F.col("value") * F.col("_h.w")).alias("value"))
     meta = cube.meta.with_(
         long_names={**cube.meta.long_names, dim: f"{dim} ({conversion.target})"},
         domains={**{k: v for k, v in cube.meta.domains.items() if k != dim}, dim: tuple(sorted({s.target for s in steps}))},

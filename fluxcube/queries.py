@@ -348,19 +348,21 @@ _RULES = convert.Conversion(
         convert.ConversionRule({"AUTOMOBILE": 1, "MACHINERY": 1}, {"1": 1}),
         convert.ConversionRule({"BUILDING": 1}, {"2": 2}),
         convert.ConversionRule({"BUILDING": 1, "HOUSEHOLD": -1}, {"3": 1}, {"PRIORITY": ("1-URGENT", "2-HIGH")}),
-        convert.ConversionRule({"HOUSEHOLD": 1}, {"3": 1}),
-        convert.ConversionRule({"FURNITURE": 1}, {"4": 1, "5": 1}),
+        convert.ConversionRule({"HOUSEHOLD": 1}, {"3": 1}, {"PRIORITY": ("2-HIGH", "3-MEDIUM")}),
+        convert.ConversionRule({"FURNITURE": 1}, {"4": 1, "5": 2}),
+        convert.ConversionRule({"MACHINERY": 1}, {"6": 1, "7": -1}),
+        convert.ConversionRule({"AUTOMOBILE": 1}, {"7": 1, "8": 1, "9": 1}, {"PRIORITY": ("5-LOW",)}),
+        convert.ConversionRule({"BUILDING": 1}, {"8": 1}),
     ),
 )
 
 
 @query(f"""with {ORDERS_SQL} select area, '1' as category, source, time, variable, sum(value) as value from cube where category in ('AUTOMOBILE', 'MACHINERY') group by all
 union all select area, '2', source, time, variable, value / 2 from cube where category = 'BUILDING'
-union all select area, 'A_(4+5)', source, time, variable, value from cube where category = 'FURNITURE'
-union all select area, '3', source, time, variable, value from (
-  select area, source, time, variable, coalesce(max(value) filter (category = 'HOUSEHOLD'),
-    case when any_value(source) in ('1-URGENT', '2-HIGH') then sum(case category when 'BUILDING' then value else -value end) end) as value
-  from cube where category in ('BUILDING', 'HOUSEHOLD') group by area, source, time, variable) where value is not null""")
+union all select area, '3', source, time, variable, sum(case category when 'BUILDING' then value else -value end) from cube where category in ('BUILDING', 'HOUSEHOLD') and source = '1-URGENT' group by all
+union all select area, '3', source, time, variable, value from cube where category = 'HOUSEHOLD' and source in ('2-HIGH', '3-MEDIUM')
+union all select area, 'A_(4+2*5)', source, time, variable, value + value / 2 from cube where category = 'FURNITURE'
+union all select area, 'A_(7+8+9)', source, time, variable, value + value + value from cube where category = 'AUTOMOBILE' and source = '5-LOW'""")
 def convert_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(convert.convert(orders_cube(spark, sf_dir), "category", _RULES, {"PRIORITY": "source"}))
 
@@ -439,9 +441,12 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.df.where("value is not null").select("area", "scenario", "source", "entity", "unit", "time", "value")
 
 
-@query("""select o_orderkey, case o_orderstatus when 'F' then 0.0 when 'P' then null else cast(o_orderkey as double) / 4 end as value, false as unreadable from orders""")
+@query("""select o_orderkey, case o_orderstatus when 'F' then 0.0 when 'P' then null else case o_orderkey % 4 when 0 then null when 1 then null else cast(o_orderkey as double) / 4 end end as value,
+  o_orderstatus = 'O' and o_orderkey % 4 < 2 as unreadable from orders""")
 def parse_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("o_orderstatus") == "F", "NE, IE").when(F.col("o_orderstatus") == "P", "NA,NE").otherwise(F.concat((F.col("o_orderkey") / 4).cast("string"), F.lit(" (1)")))
+    number = (F.col("o_orderkey") / 4).cast("string")
+    odd = F.when(F.col("o_orderkey") % 4 == 0, F.concat(number, F.lit("d"))).when(F.col("o_orderkey") % 4 == 1, F.concat(number, F.lit("f")))
+    text = F.when(F.col("o_orderstatus") == "F", "NE, IE").when(F.col("o_orderstatus") == "P", "NA,NE").otherwise(F.coalesce(odd, F.concat(number, F.lit(" (1)"))))
     value, bad = parse_code_column(text)
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), bad.alias("unreadable"))
 

@@ -129,5 +129,25 @@ def test_conversion(spark):
     assert got == {("1", "CO2"): 1, ("1", "N2O"): 1, ("2", "CO2"): 1, ("2", "N2O"): 1, ("4", "N2O"): 1}
     with pytest.raises(CubeError, match="auxiliary"):
         convert(cube, "cat", rules)
-    several = Conversion("A", "B", (ConversionRule({"1": 1, "2": 1}, {"4": 1, "5": 1}),))
-    assert values(convert(cube, "cat", several), "category", "variable")[("A_(4+5)", "CO2")] == 6  # each source once for each part
+
+def converted(spark, *rules, order=()):
+    cube = make(spark, [("COL", c, "S", 2000, g, 1.0) for c in ("1", "2", "3") for g in ("CO2", "N2O")], dims=("area", "category", "source"))
+    return values(convert(cube, "cat", Conversion("A", "B", rules, order), {"gas": "entity"}), "category", "variable")
+
+
+@pytest.mark.parametrize("targets, scale", [("abcdefgh", 8), ("ab", 2), ("abcde", 5)])
+def test_several_targets_make_one_category(spark, targets, scale):
+    got = converted(spark, ConversionRule({"1": 1}, dict.fromkeys(targets, 1)))
+    assert got == {(f"A_({'+'.join(targets)})", g): scale for g in ("CO2", "N2O")}
+    assert set(converted(spark, ConversionRule({"1": 1, "2": 1}, dict.fromkeys(targets, 1))).values()) == {2 * scale}
+
+
+def test_rules_that_apply(spark):
+    assert converted(spark, ConversionRule({"1": 1}, {"x": -3, "y": 4}), ConversionRule({"1": 1}, {"z": -1})) == {}
+    gas = {"gas": ("N2O",)}
+    # a restricted rule with several targets ends them; with one target it doesn't, and the next one replaces its cells
+    assert converted(spark, ConversionRule({"1": 1}, {"x": 1, "y": 4}, gas), ConversionRule({"2": 1}, {"x": 1})) == {("A_(x+4*y)", "N2O"): 1.25}
+    assert converted(spark, ConversionRule({"1": 3}, {"x": 1}, gas), ConversionRule({"2": 5}, {"x": 1})) == {("x", "CO2"): 5, ("x", "N2O"): 5}
+    assert converted(spark, ConversionRule({"1": 3}, {"x": 1}, {"gas": ("N2O", "CO2")}), ConversionRule({"9": 5}, {"x": 1}, gas)) == {("x", "CO2"): 3}
+    assert converted(spark, ConversionRule({"1": 1}, {"x": 1}), ConversionRule({"2": 1}, {"x": 1, "y": 1}), ConversionRule({"3": 7}, {"y": 1})) == {("x", g): 1 for g in ("CO2", "N2O")} | {("y", g): 7 for g in ("CO2", "N2O")}
+
