@@ -106,16 +106,55 @@ def test_vectors(spark, chunk):
     assert embed_dedup.near_duplicates(df.where("vec_id in (200, 201)")).count() == 2
 
 
+def test_vectors_at_the_threshold_and_without_ids(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])]
+    for k, d in enumerate((-1e-6, -1e-9, 1e-9, 1e-6), 1):
+        c = 0.95 + d
+        rows += [(k, [c, float(np.sqrt(1 - c * c)) * (-1) ** k, 0.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.001 * k])]
+    rows += [(7, [0.0, 0.0, 1.0, 0.0]), (7, [0.0, 0.0, 2.0, 0.0]), (None, None)]
+    got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    # 1 and 3, 2 and 4 lie on the same side of 0, which only 3 and 4 are near enough to
+    want = [(0, 2, 0, True), (1, 1, 0, False), (2, 1, 0, False), (3, 2, 0, False), (4, 2, 0, False), (7, 5, 7, True), (7, 5, 7, True), (None, 0, None, False), *[(None, 5, None, False)] * 4]
+    assert got == sorted(want, key=str)
+
+
 def test_blocks_admit_each_pair_once():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((200, 12))
     a[100:] = a[:100] + 0.08 * rng.standard_normal((100, 12))
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
-    found = [p for b in range(5) for p in zip(*map(np.ndarray.tolist, embed_dedup.join_block(a, None, b, 5, 0.1, 0.95)))]
-    i, j = np.nonzero(np.triu(a @ a.T >= 0.95, 1))
+    a = (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32)
+    found = [(i, j) for b in range(5) for x, y, cos in embed_dedup.join_block(a, None, b, 5, 0.1) for i, j, c in zip(x.tolist(), y.tolist(), cos.tolist()) if c >= 0.95]
+    i, j = np.nonzero(np.triu(a.astype(np.float64) @ a.T.astype(np.float64) >= 0.95, 1))
     assert len(found) == len(set(found)) and set(found) == set(zip(i.tolist(), j.tolist()))
 
 
+@pytest.mark.parametrize("levels", [0, 1, 4, 6])
+def test_cells_bring_near_points_together_once(levels):
+    rng = np.random.default_rng(levels)
+    x = rng.standard_normal((1500, 8)) / 8
+    cells = embed_dedup.Cells(x[:400], levels)
+    home = cells.home(x)
+    row, cell = cells.visits(x, 0.0125)
+    visits = set(zip(row.tolist(), cell.tolist()))
+    assert len(visits) == len(row)
+    i, j = np.nonzero(np.triu(((x[:, None] - x[None]) ** 2).sum(-1) <= 0.0125, 1))
+    for a, b in zip(i.tolist(), j.tolist()):
+        a, b = (a, b) if home[a] <= home[b] else (b, a)
+        assert home[a] == home[b] or (a, home[b]) in visits
+
+
+def test_cells_keep_comparisons_below_the_square():
+    """Vectors of a block that meet in cells, for five times as many vectors: far less than 25 times."""
+    met = []
+    for n in (20_000, 100_000):
+        x = np.random.default_rng(1).standard_normal((n, 8)) / 8
+        cells = embed_dedup.Cells(x[: embed_dedup.SAMPLE], int(np.ceil(np.log2(n / 1000))))
+        home = np.bincount(cells.home(x), minlength=1 << cells.levels)
+        guests = np.bincount(cells.visits(x, 0.0125)[1], minlength=1 << cells.levels)
+        met.append((home * (home / 2 + guests)).sum())
+    assert met[1] < 17 * met[0]
+
+
 # --- n-gram sets ------------------------------------------------------------------------------------------------------
 
 
