@@ -109,16 +109,6 @@ def thin(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
             yield batch.slice(at, rows)
 
 
-def binary_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column without nulls, end to end, and its n + 1 offsets."""
-    wide = column.cast(pa.large_binary())
-    n, skip = len(wide), wide.offset
-    offsets = np.frombuffer(wide.buffers()[1], dtype=np.int64, count=n + 1 + skip)[skip:]
-    data = wide.buffers()[2]
-    flat = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on uint64 arrays."""
     x = x.copy()

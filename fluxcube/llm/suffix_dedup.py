@@ -4,12 +4,14 @@ Every window of `min_len` bytes belongs to the smallest-hashed `GRAM`-byte strin
 with one minimizer are the unit of work ("runs"): two equal windows always have equal minimizers at equal places, so it
 is enough to look for repeats among runs that share a minimizer, in blocks of bounded size and on any number of machines:
 
-1. documents -> runs `(h, fp, doc_id, start, n_win)`; `h` the minimizer's hash, `fp` the hash of the run's bytes;
-2. a minimizer that occurs once drops out; if all its runs are equal, all their windows repeat;
-3. the differing runs of the other minimizers are fetched, once per distinct run, and put into blocks. Each block is
-   indexed by a Burrows-Wheeler transform. Breadth-first backward extension of its intervals gives the longest common
-   prefix of neighbouring suffixes by increasing value; it stops at `min_len`. Neighbours without a value by then
-   share `min_len` bytes or more;
+1. texts -> runs `(h, fp, row, start, n_win)`; `h` the minimizer's hash, `fp` the hash of the run's bytes;
+2. a minimizer that occurs once drops out. Of the others each distinct run is fetched once, or twice if it occurs more
+   often, and put into blocks;
+3. each block is indexed by a Burrows-Wheeler transform. Breadth-first backward extension of its intervals gives the
+   longest common prefix of neighbouring suffixes by increasing value; it stops at `min_len`. Neighbours without a value by
+   then share `min_len` bytes or more. So whether a run's windows repeat, whole copies included, is decided on bytes;
+   what is trusted to hashes is that runs under one `h` and `fp`, 128 bits together, are the same bytes as their two
+   representatives;
 4. a minimizer with more than `max_variants` distinct runs is dealt over several blocks; the windows of those blocks
    meet again by their 128-bit hash, so no link is lost at the seams.
 """
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import binary_values, map_text, materialize, mix64, text_frame, thin
+from fluxcube.llm.common import map_text, materialize, mix64, release, text_frame, thin
 
 GRAM = 16
 CHUNK = 1 << 21  # bytes of text in one numpy step
@@ -97,8 +99,10 @@ def _order(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of `data` in the order of the `depth` or more symbols from there; equal ones in any order."""
     n = len(data)
-    order, ranked = _order(_words(data) >> np.uint64(24), 40)
-    have = 5
+    # four symbols, and how many of them there are: the end comes before any symbol, a zero byte too
+    left = np.minimum(4, np.arange(n, 0, -1)).astype(np.uint64)
+    order, ranked = _order((_words(data) >> np.uint64(32)) << np.uint64(3) | left, 35)
+    have = 4
     bits = n.bit_length()
     ranks = np.empty(n, np.uint64)
     while True:
@@ -158,34 +162,35 @@ def repeated_starts(data: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndar
     return klass, np.bincount(klass)
 
 
-def find_runs(docs: DataFrame, min_len: int) -> DataFrame:
+def find_runs(packed: DataFrame, min_len: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = binary_values(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for batch in thin(batches):
+            rows = batch.column(0).to_numpy()
+            texts = [_unpack(x) for x in batch.column(1).to_pylist()]
+            offsets = np.cumsum([0, *map(len, texts)])
             at = 0
-            while at < len(ids):
+            while at < len(rows):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-                part, where = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-                doc, start, n_win, anchor, h = runs_of(part, where, min_len)
+                blob, where = b"".join(texts[at:to]), offsets[at : to + 1] - offsets[at]
+                doc, start, n_win, anchor, h = runs_of(np.frombuffer(blob, np.uint8), where, min_len)
                 begins = where[doc] + start
-                blob = part.tobytes()
                 fp = [xxhash.xxh3_64_intdigest(blob[b:e]) for b, e in zip(begins.tolist(), (begins + n_win + (min_len - 1)).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(ids[at:to][doc], pa.int64()), pa.array(start.astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(anchor.astype(np.int32))], ["h", "fp", "doc_id", "start", "n_win", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(rows[at:to][doc]), pa.array(start.astype(np.int32)), pa.array(n_win.astype(np.int32)), pa.array(anchor.astype(np.int32))], ["h", "fp", "row", "start", "n_win", "anchor"])
                 at = to
 
-    return map_text(text_frame(docs, "doc_id"), step, "h long, fp long, doc_id long, start int, n_win int, anchor int")
+    return packed.select("row", "packed").mapInArrow(step, "h long, fp long, row long, start int, n_win int, anchor int")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Texts as zstandard frames: what is shuffled twice should be small."""
+    """`row, doc_id, packed`: rows numbered, texts as zstandard frames, as they are read and shuffled several times."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
-    return map_text(text_frame(docs, "doc_id"), step, "doc_id long, packed binary")
+    packed = map_text(text_frame(docs, "doc_id"), step, "doc_id long, packed binary")
+    return materialize(packed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "packed"), "packed")
 
 
 def _unpack(frame: bytes) -> bytes:
@@ -262,7 +267,11 @@ def _expand(batches: Iterator[pa.RecordBatch], min_len: int) -> Iterator[pa.Reco
                     numbers[k] = klass[at : at + e - b]
         cols: list[list] = [[], [], [], [], []]
         seen: dict[tuple[int, int], set[int]] = {}
+        told: set[tuple[int, int]] = set()
         for k, (h, blk, fp, _, run) in enumerate(held):
+            if (h, fp) in told:  # the second of two equal runs has the same windows
+                continue
+            told.add((h, fp))
             edges = np.flatnonzero(np.diff(np.concatenate(([0], flags[k], [0]))))
             marks: list[bytes] = []
             if blk >= 0:
@@ -313,20 +322,21 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), span))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
 
-def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096) -> DataFrame:
-    """`(doc_id, lo, hi)`: byte ranges covered by `min_len`-byte strings that start elsewhere too; ranges may overlap."""
-    runs = materialize(find_runs(docs, min_len), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1").select("h", (F.col("f0") != F.col("f1")).alias("mixed"))
-    # written first: a join of two plain exchanges is one whose hot keys Spark can split
-    found = materialize(runs.join(materialize(shared, "minimizers"), "h"), "shared_runs")
-    mixed = found.where("mixed")
-    variants = mixed.groupBy("h", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_win", "anchor")).alias("at"))
-    variants = materialize(variants.select("h", "fp", "n", "at.*"), "variants")
+def repeated_spans(packed: DataFrame, min_len: int = 200, max_variants: int = 4096) -> DataFrame:
+    """`(row, lo, hi)`: byte ranges covered by `min_len`-byte strings that start elsewhere too; ranges may overlap."""
+    runs = materialize(find_runs(packed, min_len), "runs")
+    shared = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "minimizers")
+    # tables on both sides: a join of two plain exchanges is one whose hot keys Spark can split
+    found = materialize(runs.join(shared, "h"), "shared_runs")
+    release(runs, shared)
+    place = F.struct("row", "start", "n_win", "anchor")
+    variants = found.groupBy("h", "fp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    variants = materialize(variants.select("h", "fp", F.array_distinct(F.array("first", "last")).alias("at")), "variants")
     wide = variants.groupBy("h").agg(F.count("*").alias("v")).where(F.col("v") > max_variants)
     blocks = F.when(F.col("v").isNull(), F.lit(-1)).otherwise(F.pmod(F.col("fp"), F.ceil(F.col("v") / max_variants).cast("long"))).cast("int")
-    placed = variants.join(wide, "h", "left").withColumn("blk", blocks)
-    wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "blk", "fp", "start", "n_win", "anchor")).alias("wanted"))
-    fetched = _packed(docs).join(wanted, "doc_id").select("packed", "wanted").mapInArrow(lambda b: _fetch(thin(b), min_len), "h long, blk int, fp long, anchor int, run binary")
+    placed = variants.join(wide, "h", "left").select("h", "fp", blocks.alias("blk"), F.explode("at").alias("at")).select("h", "fp", "blk", "at.*")
+    wanted = placed.groupBy("row").agg(F.collect_list(F.struct("h", "blk", "fp", "start", "n_win", "anchor")).alias("wanted"))
+    fetched = packed.select("row", "packed").hint("merge").join(wanted, "row").select("packed", "wanted").mapInArrow(lambda b: _fetch(thin(b), min_len), "h long, blk int, fp long, anchor int, run binary")
     indexed = materialize(
         fetched.repartition("h", "blk").sortWithinPartitions("h", "blk").mapInArrow(lambda b: _expand(b, min_len), "h long, fp long, lo array<int>, hi array<int>, marks array<binary>"),
         "repeats",
@@ -335,25 +345,25 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, max_variants: int = 4096
     marks = indexed.where(F.size("marks") > 0).select("h", "fp", F.explode("marks").alias("m")).select("h", "fp", F.substring("m", 5, 16).alias("w"), F.conv(F.hex(F.substring("m", 1, 4)), 16, 10).cast("int").alias("i"))
     again = marks.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1")
     seams = marks.join(again, ["h", "w"]).select("h", "fp", F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
-    whole = variants.where("n > 1").select("h", "fp", F.lit(0).alias("lo"), F.col("n_win").alias("hi"))
     # the windows of one run, as one row: a run then meets its repeats by a plain equality join
-    per_run = local.union(seams).union(whole).groupBy("h", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
-    part = mixed.join(per_run, ["h", "fp"]).select("doc_id", "start", F.explode("r").alias("r"))
-    part = part.select("doc_id", (F.col("start") + F.col("r.lo")).cast("long").alias("lo"), (F.col("start") + F.col("r.hi") + min_len - 1).cast("long").alias("hi"))
-    same = found.where("not mixed").select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("n_win") + min_len - 1).cast("long").alias("hi"))
-    return part.union(same)
+    per_run = materialize(local.union(seams).groupBy("h", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("r")), "run_repeats")
+    release(indexed, variants)
+    part = found.join(per_run, ["h", "fp"]).select("row", "start", F.explode("r").alias("r"))
+    return part.select("row", (F.col("start") + F.col("r.lo")).cast("long").alias("lo"), (F.col("start") + F.col("r.hi") + min_len - 1).cast("long").alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, min_len: int = 200, max_variants: int = 4096) -> DataFrame:
     """Documents without the bytes covered by any `min_len`-byte string that also starts elsewhere in the corpus.
 
     `docs(doc_id, text, ...)`; other columns are not read. Returns `doc_id, n_bytes, n_removed, n_spans, kept binary,
-    spans array<struct<lo, hi>>`. Null or short texts come back whole (null as empty); repeated rows count as repeats;
-    a doc_id that occurs twice gets the union of its rows' ranges on each of them, so ids should be unique; a row without an
-    id comes back whole, though its strings count for others; an empty table gives an empty result. Nothing is capped: every place of every text is looked at.
+    spans array<struct<lo, hi>>`, a row for each row. Every row is a text of its own, whatever its id: repeated rows, rows
+    without an id and rows that share one repeat each other where their texts do. Null or short texts come back whole (null
+    as empty); an empty table gives an empty result. Nothing is capped: every place of every text is looked at, and a task
+    holds the longest text and a bounded number of runs.
     """
-    spans = repeated_spans(docs, min_len, max_variants).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return _packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
+    packed = _packed(docs)
+    spans = repeated_spans(packed, min_len, max_variants).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return packed.hint("merge").join(spans, "row", "left").select("doc_id", "packed", "spans").mapInArrow(
         lambda b: _clean(thin(b)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<lo:bigint,hi:bigint>>"
     )
 

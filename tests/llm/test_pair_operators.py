@@ -47,10 +47,26 @@ def test_repeated_rows_and_no_rows(spark):
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=5), st.integers(8, 14))
-def test_transform_finds_every_repeat(parts, min_len):
-    data = b"".join(parts) + b"#" * 3
+def test_repeats_without_ids_and_under_shared_ones(spark):
+    big = (1 << 60) + 1  # no double holds it
+    rows = [(None, PASSAGE + "a" * 60), (None, "b" * 30 + PASSAGE), (None, None), (big, "c" + PASSAGE[:250]), (4, "x y " * 10), (4, "z" * 199), (4, PASSAGE), (5, PASSAGE)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {k: v for k, v in enumerate(suffix_dedup.brute_force(dict(enumerate(t for _, t in rows))).values())}
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == sorted(((d, *want[k][:3]) for k, (d, _) in enumerate(rows)), key=str)
+
+
+def test_repeats_in_very_long_and_tied_texts(spark):
+    rng = np.random.default_rng(8)
+    noise = "".join(chr(97 + x) for x in rng.integers(0, 26, 300_000))
+    texts = {1: noise + PASSAGE + noise[:1000], 2: "ab" * 2000, 3: "ab" * 150, 4: noise[5000:5300], 5: "\x00" * 700}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert got == {k: v[:3] for k, v in suffix_dedup.brute_force(texts).items()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)), max_size=5), st.integers(8, 14), st.sampled_from([0, 97]))
+def test_transform_finds_every_repeat(parts, min_len, least):
+    data = bytes(x + least for x in b"".join(parts)) + bytes([35, 0][least == 0:][:1]) * 3
     klass, _ = suffix_dedup.repeated_starts(np.frombuffer(data, np.uint8), min_len)
     seen: dict[bytes, int] = {}
     for i in range(len(data) - min_len + 1):
