@@ -229,12 +229,15 @@ def shape(word: str) -> str:
     return "".join(out) if len(out) <= 8 else "~" + "".join(sorted({x[0] for x in out}))
 
 
+def length_class(word: str) -> int:
+    return next((k for k, most in enumerate((3, 7, 11, 15, 23, 39)) if len(word) <= most), 6)
+
+
 def density(word: str) -> str:
     """How long a word is and how often letters and digits take turns in it."""
     kinds = ["d" if ch.isdigit() else "x" if ch.isalpha() else "." for ch in word]
     turns = sum(a != b and "." not in (a, b) for a, b in zip(kinds, kinds[1:]))
-    long = next((k for k, most in enumerate((3, 7, 11, 15, 23, 39)) if len(word) <= most), 6)
-    return f"{long}{next((k for k, most in enumerate((0, 2, 5)) if turns <= most), 3)}"
+    return f"{length_class(word)}{next((k for k, most in enumerate((0, 2, 5)) if turns <= most), 3)}"
 
 
 def features(word: str) -> list[str]:
@@ -253,24 +256,51 @@ class Field:
     margin: float  # what a label other than O must be better by
 
     def __post_init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(PLACES), len(LABELS)), np.float32)
-        self.ends = np.zeros(1024, bool)
+        self.known: dict[str, int] = {}  # row of each word met
+        self.plain: dict[tuple[int, bool, str], int] = {}  # row of all plain words of a length, a case and an end
+        self.own_words = {f[2:] for f in self.weights if f.startswith("w=")}
+        self.rows = np.zeros((0, len(PLACES), len(LABELS)), np.float32)
+        self.ends = np.zeros(0, bool)
+
+    def forget(self) -> None:
+        self.__post_init__()
+
+    def plain_kind(self, word: str) -> tuple[int, bool, str] | None:
+        """What all features of a word follow from that is letters and perhaps one mark, and none that the table has."""
+        letters, mark = (word, "") if word[-1].isalnum() else (word[:-1], word[-1])
+        if mark not in ",.;:!?" or not letters.isalpha():
+            return None
+        large = letters[0].isupper()
+        if not (letters[1:].islower() if large else letters.islower()) or letters.lower() in self.own_words or len(word) <= 4 and mark == ".":
+            return None
+        return length_class(letters), large, mark
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of words, and whether a sentence ends with them."""
+        rows = np.zeros((len(words), len(PLACES), len(LABELS)), np.float32)
+        for k, w in enumerate(words):
+            for f in features(w):
+                if f in self.weights:
+                    rows[k] += self.weights[f]
+        return rows, np.array([w[-1] in ".!?" and w not in _SHORT and not (len(w) == 2 and w[0].isupper()) for w in words], bool)
 
     def index(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words' rows; new words are scored. Bounded: a full table starts anew between batches."""
-        known = self.known
+        """Numbers of the words' rows; new words are scored, plain ones of a kind once."""
+        known, plain = self.known, self.plain
+        fresh: list[str] = []
+        at = len(self.rows)
         for w in set(words).difference(known):
-            k = len(known)
-            if k == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            known[w] = k
-            self.rows[k] = 0
-            for f in features(w):
-                if f in self.weights:
-                    self.rows[k] += self.weights[f]
-            self.ends[k] = w[-1] in ".!?" and w not in _SHORT and not (len(w) == 2 and w[0].isupper())
+            kind = self.plain_kind(w)
+            if kind in plain:
+                known[w] = plain[kind]
+                continue
+            known[w] = at + len(fresh)
+            if kind is not None:
+                plain[kind] = known[w]
+            fresh.append(w)
+        if fresh:
+            rows, ends = self.score(fresh)
+            self.rows, self.ends = np.concatenate([self.rows, rows]), np.concatenate([self.ends, ends])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def emissions(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -318,7 +348,7 @@ class Field:
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """The added spans of each text: (kind, start, end)."""
         if len(self.known) > 400_000:
-            self.known.clear()
+            self.forget()
         split = [t.split() for t in texts]
         lengths = np.array([len(w) for w in split], np.int64)
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]

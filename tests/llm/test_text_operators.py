@@ -329,6 +329,16 @@ def test_field_on_the_tables(spark):
     assert sum(len(v) for k, v in found.items() if not secret[k]) <= 0.01 * len(found)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aBé\u01c5\u00aa1.,!=\"-", min_size=1, max_size=9).filter(lambda w: len(w.split()) == 1 and w.split()[0] == w) | st.sampled_from(["token", "Token", "Mr.", "is,", "name"]), min_size=1, max_size=8))
+def test_plain_words_score_as_any_other(words):
+    trained = pii.train()
+    field = pii.Field(trained.weights, trained.moves, trained.margin)
+    ids = field.index(words)
+    rows, ends = field.score(words)
+    assert np.allclose(field.rows[ids], rows) and (field.ends[ids] == ends).all()
+
+
 def test_decoding_is_the_best_path():
     field = pii.train()
     rng = np.random.default_rng(4)
