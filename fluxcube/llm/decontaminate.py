@@ -9,10 +9,11 @@ word five-grams of the item, then the words of its question and of its answer.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import map_text, text_frame
+from fluxcube.llm.common import map_text, materialize, text_frame
 
 _SPLIT = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 MAX_BLOCKS = 64
-#: Items of one index; larger benchmarks are searched in slices, one pass over the documents each.
+#: Items, and their words, of one index; larger benchmarks are searched in slices, one pass over the documents each. The
+#: statistics that scores rest on are those of the whole benchmark, so slices find what one index would.
 ITEMS_PER_INDEX = 50_000
+WORDS_PER_INDEX = 5_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,35 +50,52 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of a whole benchmark: items and words in all, words of its longest item, and in how many items a term is."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: Mapping[bytes, int]
+
+
+def statistics(texts: list[list[bytes]]) -> Statistics:
+    return Statistics(len(texts), sum(map(len, texts)), max(map(len, texts), default=1), Counter(w for t in texts for w in set(t)))
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings by term, ordered by item, and the largest impact of each term in each block of neighbouring items."""
+    """Postings by term, ordered by item, and the largest impact of each term in each block of neighbouring items; `whole`:
+    statistics of the benchmark that the items are a slice of."""
 
     items: list[tuple[int, str]]
     k1: float = 1.2
     b: float = 0.75
+    whole: Statistics | None = None
 
     def __post_init__(self) -> None:
         self.items = sorted((i, t) for i, t in self.items if words_of(t))
         texts = [words_of(t) for _, t in self.items]
         n = len(texts)
-        df = Counter(w for t in texts for w in set(t))
-        mean = sum(map(len, texts)) / max(1, n)
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
+        whole = self.whole or statistics(texts)
+        own = sorted({w for t in texts for w in t})
+        df, mean = whole.frequency, whole.words / max(1, whole.items)
+        self.vocabulary = {w: k for k, w in enumerate(own)}
         self.block_size = max(1, -(-n // MAX_BLOCKS))
         self.n_blocks = max(1, -(-n // self.block_size))
-        self.maxima = np.zeros((len(df) + 1, self.n_blocks), np.float32)
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        self.maxima = np.zeros((len(own) + 1, self.n_blocks), np.float32)
+        self.postings: list[list[tuple[int, float]]] = [[] for _ in own]
         for k, t in enumerate(texts):
             norm = self.k1 * (1 - self.b + self.b * len(t) / mean)
-            raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (self.k1 + 1) / (c + norm) for w, c in Counter(t).items()}
-            own = sum(raw.values())
+            raw = {w: math.log(1 + (whole.items - df[w] + 0.5) / (df[w] + 0.5)) * c * (self.k1 + 1) / (c + norm) for w, c in Counter(t).items()}
+            full = sum(raw.values())
             for w, x in raw.items():
                 term = self.vocabulary[w]
-                self.postings[term].append((k, x / own))
-                self.maxima[term, k // self.block_size] = max(self.maxima[term, k // self.block_size], x / own)
+                self.postings[term].append((k, x / full))
+                self.maxima[term, k // self.block_size] = max(self.maxima[term, k // self.block_size], x / full)
         self.tops = self.maxima.max(axis=1) if n else np.zeros(1, np.float32)
-        self.longest = max(map(len, texts), default=1)
+        self.longest = whole.longest
         self.grams = [grams(t) for t in texts]
         self.sides = [question_answer(t) for _, t in self.items]
 
@@ -174,11 +194,30 @@ def hits_of(index: BlockMaxIndex, texts: list[str], threshold: float, overlap: f
     return out
 
 
-def _indexes(bench: DataFrame) -> list[BlockMaxIndex]:
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) -> (item_id, text, words, distinct words)."""
+    for batch in batches:
+        split = [words_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, split)), pa.int64()), pa.array([sorted(set(w)) for w in split], pa.list_(pa.binary()))], ["item_id", "text", "n", "terms"])
+
+
+def _indexes(bench: DataFrame) -> tuple[int, Iterator[BlockMaxIndex]]:
+    """How many indexes the benchmark takes, and these, one at a time."""
     rows = bench.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    n = rows.count()
-    slices = max(1, -(-n // ITEMS_PER_INDEX))
-    return [BlockMaxIndex([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()]) for k in range(slices)]
+    described = rows.mapInArrow(_describe, "item_id long, text string, n long, terms array<binary>").where("n > 0")
+    items, words, longest = described.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    slices = max(1, -(-items // ITEMS_PER_INDEX), -(-words // WORDS_PER_INDEX))
+
+    def several() -> Iterator[BlockMaxIndex]:
+        table = materialize(described, "benchmark")
+        terms = table.select("item_id", F.explode("terms").alias("term"))
+        frequency = materialize(terms.groupBy("term").agg(F.count("*").alias("df")), "benchmark_terms")
+        part = lambda df, k: df.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
+        for k in range(slices):
+            df = {bytes(r[0]): r[1] for r in frequency.join(part(terms, k).select("term").distinct(), "term").collect()}
+            yield BlockMaxIndex([tuple(r) for r in part(table, k).select("item_id", "text").collect()], whole=Statistics(items, words, longest, df))
+
+    return slices, several() if slices > 1 else iter([BlockMaxIndex([tuple(r) for r in rows.collect()])])
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
@@ -186,13 +225,15 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.5, overla
 
     Every passage of `docs(doc_id, text, ...)` queries every item of `bench(item_id, text, ...)`: all items with a score
     of `threshold` or more are retrieved and those are kept of which the passage holds `overlap` of the five-grams, of the
-    question's words and of the answer's words. Null and empty texts hold nothing, null or wordless items are in
-    nothing; repeated rows give repeated hits; other columns are not read. Without items or documents the result is
-    empty.
+    question's words and of the answer's words. Null and empty texts hold nothing, null or wordless items and items
+    without an id are in nothing; of items that share an id a text has one hit, the first's; repeated rows give repeated
+    hits; other columns are not read. Texts are read whole, however long. Without items or documents the result is empty.
     """
+    n, indexes = _indexes(bench)
+    texts = text_frame(docs, F.col("doc_id").cast("long").alias("doc_id"))
     parts = []
-    for index in _indexes(bench):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # ITEMS_PER_INDEX items at most
+    for index in indexes:
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # ITEMS_PER_INDEX items and WORDS_PER_INDEX words, or one longer item
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,17 +242,19 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.5, overla
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["doc_id", "item_id", "score", "gram_overlap", "question_overlap", "answer_overlap"])
 
-        parts.append(map_text(text_frame(docs, F.col("doc_id").cast("long").alias("doc_id")), step, "doc_id long, item_id long, score double, gram_overlap double, question_overlap double, answer_overlap double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        found = map_text(texts, step, "doc_id long, item_id long, score double, gram_overlap double, question_overlap double, answer_overlap double")
+        if n > 1:  # one index at a time
+            found = materialize(found, "leaks")
+            shared.destroy()
+        parts.append(found)
+    return functools.reduce(DataFrame.union, parts)
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """The documents that hold no test item, with the columns of `docs`; no shuffle."""
     at = docs.columns.index("text")
-    for index in _indexes(bench):
+    n, indexes = _indexes(bench)
+    for index in indexes:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -220,6 +263,9 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.5, overla
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
         docs = map_text(docs, step, docs.schema)
+        if n > 1:
+            docs = materialize(docs, "without_leaks")
+            shared.destroy()
     return docs
 
 

@@ -227,9 +227,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, n_blocks: int =
         edges = np.linspace(0, dim, blocks + 1).astype(int)
         budget = limit * np.diff(edges) / dim + SLACK
         mine = classes.where(F.length("unit") == 8 * dim)
-        sample = [r[0] for r in mine.orderBy(F.xxhash64("rep")).select("unit").limit(SAMPLE).collect()]
+        # numbers are unique, so their hashes pick about SAMPLE vectors, whatever the table
+        picked = mine.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / n)))
+        sample = [r[0] for r in picked.select("unit").collect()]
         turned = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), dim) @ turn
-        levels = max(0, min(int(np.log2(max(1, len(sample) // 16))), int(np.ceil(np.log2(max(1, 2 * n / chunk))))))
+        levels = max(0, min(int(np.log2(max(1, len(sample) // 16))), int(np.ceil(np.log2(max(1, n / chunk))))))
         trees = [Cells(turned[:, edges[k] : edges[k + 1]], levels) for k in range(blocks)]
         shared = spark.sparkContext.broadcast((turn, trees))  # dim x dim numbers and at most SAMPLE / 16 planes a block
 

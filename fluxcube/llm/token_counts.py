@@ -32,10 +32,11 @@ def load_pieces(model_file: str) -> tuple[dict[str, float], float]:
 
 
 class PieceTrie:
-    """Forward scores of all prefixes met so far. Bounded: at `max_nodes` nodes it starts anew."""
+    """Forward scores of all prefixes of up to `depth` characters met so far. Bounded: at `max_nodes` nodes it starts anew."""
 
-    def __init__(self, pieces: dict[str, float], byte_score: float, max_nodes: int = 1_500_000) -> None:
-        self.byte_score, self.max_nodes = byte_score, max_nodes
+    def __init__(self, pieces: dict[str, float], byte_score: float, max_nodes: int = 1_500_000, depth: int = 256) -> None:
+        self.byte_score, self.max_nodes, self.depth = byte_score, max_nodes, depth
+        self.longest = max(map(len, pieces), default=1)
         self.back: dict = {}  # pieces read from their end
         for piece, score in pieces.items():
             node = self.back
@@ -53,7 +54,8 @@ class PieceTrie:
         """Insert a word and return its number of tokens; ties of the score go to fewer tokens."""
         text = SPACE + word.decode()
         node, path = 0, [0]
-        for i, ch in enumerate(text):
+        shared = min(len(text), self.depth)
+        for i, ch in enumerate(text[:shared]):
             following = self.child.get((node, ch))
             if following is None:
                 best, count = -math.inf, 0
@@ -77,8 +79,36 @@ class PieceTrie:
                 self.count.append(count)
             node = following
             path.append(node)
-        self.words[word] = self.count[node]
-        return self.count[node]
+        count = self.count[node] if shared == len(text) else self._tail(text, path)
+        if shared == len(text):
+            self.words[word] = count
+        return count
+
+    def _tail(self, text: str, path: list[int]) -> int:
+        """Tokens of a word that is deeper than the trie: what follows its nodes is worked out for this word alone, with as
+        many scores held as the longest piece has characters."""
+        score, count = [self.score[k] for k in path], [self.count[k] for k in path]
+        keep = max(self.longest, 1)
+        score, count = score[-keep:], count[-keep:]
+        for i in range(len(path) - 1, len(text)):
+            best, least, back, j = -math.inf, 0, self.back, i
+            while j >= 0 and i - j < len(score):
+                back = back.get(text[j])
+                if back is None:
+                    break
+                if "" in back:
+                    s, c = score[j - i - 1] + back[""], count[j - i - 1] + 1
+                    if s > best or s == best and c < least:
+                        best, least = s, c
+                j -= 1
+            if best == -math.inf:
+                n = len(text[i].encode())
+                best, least = score[-1] + n * self.byte_score, count[-1] + n
+            score.append(best)
+            count.append(least)
+            if len(score) > keep:
+                del score[0], count[0]
+        return count[-1]
 
     def totals(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Numbers of words and of tokens of each text."""
@@ -86,9 +116,16 @@ class PieceTrie:
             self.clear()
         split = [t.split() for t in texts]
         # in order, neighbours share most of their path
+        deep: dict[bytes, int] = {}
         for word in sorted(set().union(*split).difference(self.words)):
-            self.add(word)
-        return [len(w) for w in split], [sum(map(self.words.__getitem__, w)) for w in split]
+            if len(self.score) > self.max_nodes:  # words of this batch that went with them are added again below
+                self.clear()
+            count = self.add(word)
+            if word not in self.words:
+                deep[word] = count
+        get = self.words.get
+        counts = lambda words: sum(deep[w] if w in deep else n if (n := get(w)) is not None else self.add(w) for w in words)
+        return [len(w) for w in split], [counts(w) for w in split]
 
 
 def trie(model_file: str) -> PieceTrie:
@@ -99,7 +136,8 @@ def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `doc_id, n_words, n_tokens`.
 
     Pre-tokens are runs of other than ASCII white space, each led by the space mark; a character that no piece covers counts its
-    UTF-8 bytes. Null and empty texts count 0. A row for each row, repeated ones too; other columns are not read.
+    UTF-8 bytes. Null and empty texts count 0. A row for each row, repeated ones and those without an id too; other columns
+    are not read. Texts are read whole, however long; a word of any length takes memory for its first characters alone.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Token ids in binary shards: documents compressed one by one under a shared dictionary, found again by an offset index.
 
-A shard is: magic, header (version, bytes per id, documents, ids, SHA-256 of the dictionary), one zstandard frame for
-each document, then the index (document ids, null flags, frame offsets, id counts), the index's place and the magic
-again. A reader that wants one short document reads the index and that document's frame. The dictionary is a file beside the
-shards; its hash in every header says which one is needed.
+A shard is: one zstandard frame for each document, then the index (document ids, null flags, frame offsets, id counts), a
+header (magic, version, bytes per id, documents, ids, SHA-256 of the dictionary), the index's place and the magic again. The
+header stands at the end, since a shard is written as a stream. A reader that wants one short document reads the index and
+that document's frame. The dictionary is a file beside the shards; its hash in every header says which one is needed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxcube.llm.common import map_text, materialize, scratch_path, text_frame, worker_cache
+from fluxcube.llm.common import map_text, materialize, scratch_path, spread_pieces, text_frame, worker_cache
 
 MAGIC = b"FXTOKEN1"
 HEADER = struct.Struct("<8sHHQQ32s")
@@ -38,10 +38,10 @@ _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that folds case and never looks across white space, each distinct word encoded once.
+    """Ids of whole texts, by a tokenizer that never looks across white space with each distinct word encoded once.
 
-    Right for tokenizers whose normalizer folds case and whose pre-tokenizer drops white space; words are cut at ASCII
-    white space only, the rest is the tokenizer's. Where tokens mark the ends of pre-tokens, a plain word is its letters
+    A probe tells whether that holds; with any other tokenizer whole texts go to the library. Words are cut at ASCII white
+    space only, the rest is the tokenizer's. Where tokens mark the ends of pre-tokens, a plain word is its letters
     and perhaps a run of signs behind them, two pre-tokens that other words share. New pre-tokens go to the library many
     at a time, as one text that is cut apart at those ends; words of another kind go one by one. The memory is bounded: a
     table of `max_words` becomes the old one, which is asked before the library, and the one before it goes.
@@ -67,6 +67,13 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, k in vocabulary.items():
             self.ends[k] = bool(suffix) and token.endswith(suffix)
+        self.by_word = self._works_by_word()
+
+    def _works_by_word(self) -> bool:
+        """Whether words' ids, end to end, are the text's: else whole texts go to the library."""
+        probe = "One  tWO\n three, (four) five.six don't \t 7,8 \u00c9t\u00e9 ok\n\n\nX-y  "
+        own = b"".join(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for w in self.folded(probe.encode()).split())
+        return own == np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes] | None:
@@ -132,6 +139,8 @@ class WordEncoder:
         return text if any(name in low for name in self.special) else low
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             if len(self.known) > self.max_words:
@@ -161,14 +170,17 @@ def id_width(path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, sample: int = 800, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary of at most `size` bytes from the id arrays of the `sample` documents with the smallest hash of
-    their id. The sample is bounded as the dictionary is, to the first 64 KB of each text; it decides the size of the output, never its content."""
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    texts = [(r[0] or "").encode()[: 1 << 16].decode(errors="ignore").encode() for r in docs.where(F.col("doc_id").isin(ids)).select("text").collect()]
+    """A zstandard dictionary of at most `size` bytes from the id arrays of about `sample` documents, drawn at random. The
+    sample is bounded as the dictionary is: of texts over 64 KB, pieces spread over them. It decides the size of the output,
+    never its content. Where there is too little to train on, the id arrays themselves are the dictionary."""
+    n = docs.count()
+    rows = docs.select(spread_pieces(F.col("text")).alias("text")).where("text <> ''")
+    texts = [r[0].encode() for r in rows.sample(fraction=min(1.0, 2 * sample / max(1, n)), seed=7).limit(sample).collect()]
+    serialized = [x for x in encoder(path, width).encode(sorted(texts)) if x]
     try:
-        return zstandard.train_dictionary(size, [x for x in encoder(path, width).encode(sorted(texts)) if x]).as_bytes()
+        return zstandard.train_dictionary(size, serialized).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""  # too little to train on: shards without a dictionary
+        return (b"".join(serialized) or np.arange(256, dtype="<u2").tobytes())[-size:]
 
 
 def _press(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -182,12 +194,11 @@ class ShardWriter:
         self.fs, root = pafs.FileSystem.from_uri(folder)
         self.path = f"{root}/shard-{uuid.uuid4().hex}.fxt"
         self.out = self.fs.open_output_stream(f"{self.path}.tmp")
-        self.out.write(bytes(HEADER.size))
         self.digest, self.width = hashlib.sha256(dictionary).digest(), width
         self.press = _press(dictionary)
         self.ids: list[int | None] = []
         self.counts: list[int] = []
-        self.offsets = [HEADER.size]
+        self.offsets = [0]
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.press.compress(ids)
@@ -199,7 +210,7 @@ class ShardWriter:
     def close(self) -> tuple[str, int, int]:
         index = b"".join((np.array([x or 0 for x in self.ids], "<i8").tobytes(), np.array([x is None for x in self.ids], "u1").tobytes(), np.array(self.offsets, "<u8").tobytes(), np.array(self.counts, "<u8").tobytes()))
         header = HEADER.pack(MAGIC, 1, self.width, len(self.ids), sum(self.counts), self.digest)
-        self.out.write(index + header + TAIL.pack(self.offsets[-1], MAGIC))  # streams can't seek back, so the header is repeated here
+        self.out.write(index + header + TAIL.pack(self.offsets[-1], MAGIC))
         self.out.close()
         self.fs.move(f"{self.path}.tmp", self.path)
         return self.path, len(self.ids), sum(self.counts)
@@ -307,7 +318,12 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = 1, order: str | None = None) -> DataFrame:
     """Write shards to a new folder under the shared one, and read them back; `order` as in `write_shards`."""
     spark = docs.sparkSession
-    folder = scratch_path(spark, "shards")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    uri = uri if "://" in uri else uri.replace("file:", "file://", 1)
-    return read_shards(spark, uri, write_shards(docs, uri, tokenizer, end_id, order=order))
+    folder = qualified(spark, scratch_path(spark, "shards"))
+    return read_shards(spark, folder, write_shards(docs, folder, tokenizer, end_id, order=order))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme of the file system that Spark takes it to be on, so that shards and tables are in one store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return uri if "://" in uri else uri.replace("file:", "file://", 1)

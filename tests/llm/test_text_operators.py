@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -178,6 +179,23 @@ def test_shards_of_odd_tables(spark):
     assert token_output.round_trip(df.where("false"), BPE).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    facts = json.loads(Tokenizer.from_file(BPE).to_str())
+    facts["pre_tokenizer"], facts["normalizer"] = None, None
+    (tmp_path / "t.json").write_text(json.dumps(facts))
+    encoder = token_output.WordEncoder(str(tmp_path / "t.json"), 2)
+    text = "one  two Three\n\n four five, six"
+    assert not encoder.by_word and token_output.encoder(BPE, 2).by_word
+    assert encoder.encode([text.encode()]) == [np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+
+
+def test_small_tables_have_a_dictionary_too(spark):
+    df = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    assert len(token_output.train_dictionary(df, BPE, 2)) >= 6 and len(token_output.train_dictionary(df.where("false"), BPE, 2)) == 512
+    long = spark.createDataFrame([(1, "word " * 100_000)], "doc_id long, text string")
+    assert 0 < len(token_output.train_dictionary(long, BPE, 2)) <= 1 << 16
+
+
 def test_one_document_is_read_alone(tmp_path):
     import pyarrow.fs as pafs
 
@@ -225,11 +243,18 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
 
 
-def test_items_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 2)
-    df = spark.createDataFrame([(1, leaky(1)), (2, leaky(2)), (3, "none")], "doc_id long, text string")
-    bench = spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench).collect()} >= {(1, 1), (2, 2)}
+@pytest.mark.parametrize("bound", ["ITEMS_PER_INDEX", "WORDS_PER_INDEX"])
+def test_slices_find_what_one_index_finds(spark, monkeypatch, bound):
+    texts = {k: leaky(1 + k % 3) if k % 4 else prose("en", 60, k) + " " + " ".join(ITEMS[2].split()[: 10 + k]) for k in range(1, 13)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = {**{k: t for k, t in ITEMS.items() if t}, **{k: prose("en", 20, k) for k in range(50, 60)}}
+    bench = spark.createDataFrame([*items.items(), (None, "no id"), (99, None)], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.find_leaks(df, bench, threshold=0.2, overlap=0.3).collect()))
+    kept = {r[0] for r in decontaminate.drop_leaks(df, bench).collect()}
+    monkeypatch.setattr(decontaminate, bound, 3 if bound == "ITEMS_PER_INDEX" else 40)
+    several = sorted(map(tuple, decontaminate.find_leaks(df, bench, threshold=0.2, overlap=0.3).collect()))
+    assert len(one) > 5 and [r[:2] for r in several] == [r[:2] for r in one] and np.allclose([r[2:] for r in several], [r[2:] for r in one])
+    assert {r[0] for r in decontaminate.drop_leaks(df, bench).collect()} == kept
 
 
 @settings(max_examples=80, deadline=None)
@@ -262,9 +287,19 @@ def test_token_counts(spark):
 @given(st.lists(st.text("abc", max_size=9), max_size=6))
 def test_trie_agrees_with_plain_dynamic_programming(words):
     pieces = {"▁": -5.0, "▁a": -1.0, "a": -2.0, "b": -2.0, "ab": -3.0, "abc": -3.5, "bca": -2.5, "▁ab": -3.0}
-    trie = token_counts.PieceTrie(pieces, -20.0, max_nodes=8)
     text = " ".join(words)
-    assert trie.totals([text.encode()])[1] == [token_counts.brute_force(text, pieces, -20.0)]
+    for options in ({"max_nodes": 8}, {"depth": 3}, {"depth": 1, "max_nodes": 2}):
+        trie = token_counts.PieceTrie(pieces, -20.0, **options)
+        for _ in range(2):
+            assert trie.totals([text.encode()])[1] == [token_counts.brute_force(text, pieces, -20.0)]
+
+
+def test_a_very_long_word_takes_few_nodes():
+    pieces = {"▁": -5.0, "a": -2.0, "ab": -3.0, "ba": -2.9, "bab": -3.1}
+    trie = token_counts.PieceTrie(pieces, -20.0, max_nodes=1000)
+    word = "ab" * 100_000 + "x"
+    assert trie.totals([word.encode()])[1] == [token_counts.brute_force(word[:2001] + "x", pieces, -20.0) - token_counts.brute_force(word[:2001], pieces, -20.0) + trie.totals([word[:-1].encode()])[1][0]]
+    assert len(trie.score) < 600
 
 
 # --- personal data ----------------------------------------------------------------------------------------------------
