@@ -172,15 +172,23 @@ def levels(rules: Sequence[Rule]) -> list[list[Rule]]:
 def add_aggregates_coordinates(cube: Cube, agg_info: Mapping[str, Sequence[Rule]], tolerance: float = 0.01, check: bool = True) -> Cube:
     """Add sums along dimensions as new labels (or check them against labels that exist, within the tolerance).
 
-    Rules of one level are computed in one pass over the cube, for all variables at once.
+    Rules of one level are computed in one pass over the cube, for all variables at once. Labels that the dimension doesn't
+    have yet meet no cells, so their rows are appended; only the others are merged and checked.
     """
     cube.require_no_processing_info()
     for name, rules in agg_info.items():
         dim = cube.meta.resolve(name)
+        cube = cube.with_domains(dim)
         for level in levels(rules):
             for tol in sorted({r.tolerance if r.tolerance is not None else tolerance for r in level}):
                 part = [r for r in level if (r.tolerance if r.tolerance is not None else tolerance) == tol]
-                cube = merge(cube, _apply_level(cube, dim, part), tolerance=tol, check=check)
+                fresh = [r for r in part if r.target not in cube.meta.domains[dim]]
+                old = [r for r in part if r.target in cube.meta.domains[dim]]
+                added = _apply_level(cube, dim, fresh) if fresh else None
+                if old:
+                    cube = merge(cube, _apply_level(cube, dim, old), tolerance=tol, check=check)
+                if added is not None:
+                    cube = cube.with_df(cube.df.select(*cube.keys, "value").union(added.df), cube.meta.with_(domains=added.meta.domains))
     return cube
 
 

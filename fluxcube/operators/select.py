@@ -135,11 +135,6 @@ def expand_dims(cube: Cube, dim: str, value: str, terminology: str | None = None
     return cube.with_df(df.select(*meta.dims, "time", "variable", *[c for c in df.columns if c not in (*meta.dims, "time", "variable")]), meta)
 
 
-def rename_dimension(meta: CubeMeta, long_name: str) -> tuple[str, str]:
-    """Column and long name for `category (IPCC2006)` and plain names."""
-    return split_long_name(long_name)[0].lower().replace(" ", "_"), long_name
-
-
 def filter_rows(df: DataFrame, keep: Mapping[str, Mapping[str, Any]] | None = None, remove: Mapping[str, Mapping[str, Any]] | None = None) -> DataFrame:
     """Rows that fit any `keep` rule and no `remove` rule. A rule is a conjunction of equalities or lists; NULL fits nothing."""
 

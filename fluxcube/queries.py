@@ -6,18 +6,19 @@ import datetime
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxcube.cube import Cube
-from fluxcube.functions.codes import ipcc_code, map_distinct, parse_code_column
+from fluxcube.functions.codes import entity_name, ipcc_code, map_distinct, parse_code_column, unit_name
 from fluxcube.meta import VariableMeta
 from fluxcube.operators import aggregate, align, arithmetic, convert, downscale, gaps, gwp, select, validate
 from fluxcube.operators.select import Not
 from fluxcube.plans import compose, strategies
 from fluxcube.plans.definitions import PriorityDefinition, StrategyDefinition
-from fluxcube.sources import inventory, store, tables
+from fluxcube.sources import interchange, inventory, store, tables
 from fluxcube.sources.views import EVENTS_SQL, LINEITEM_SQL, ORDERS_SQL, events_cube, lineitem_cube, orders_cube, table
 from fluxcube.streaming.ingest import windowed_totals
 
@@ -224,6 +225,33 @@ def frame_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arithmetic.to_frame(lineitem_cube(spark, sf_dir), "entity", ["CO2", "CH4", "SF6"])
 
 
+@query(f"""with {LINEITEM_SQL}, a as (select area, source, time, value from cube where variable = 'CO2'), b as (select area, source, time, value from cube where variable = 'CH4' and time >= '1997-01-01')
+select area, source, time, 'left' as variable, a.value - b.value as value from a left join b using (area, source, time)""")
+def arithmetic_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = lineitem_cube(spark, sf_dir)
+    late = cube.with_df(cube.df.where(F.col("time") >= F.lit(_day(1997))))
+    ch4 = gwp.convert_to_gwp(late, "CH4", "AR4GWP100").variable("CH4 (AR4GWP100)")
+    same = ch4.with_df(ch4.df.withColumn("value", F.col("value") / 25))  # as many Gg CO2 as it was Gg CH4
+    return arithmetic.combine(cube.variable("CO2"), same, "-", "left", join="left").df.select(*cube.keys, "value")
+
+
+@query(f"with {LINEITEM_SQL} select area, source, time, 'twice' as variable, 2 * value + 1 as value from cube where variable = 'CO2'")
+def arithmetic_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = lineitem_cube(spark, sf_dir).variable("CO2")
+    return cells(arithmetic.combine(cube, cube.with_df(cube.df.withColumn("value", F.col("value") + 1)), "+", "twice", join="exact"))
+
+
+@query(f"""with {LINEITEM_SQL} select area, source, time, variable, value from cube where variable <> 'SF6'
+union all select area, source, time, variable, value * 1.004::double from cube where variable = 'SF6'""")
+def merge_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cube has CO2 and CH4, the other CH4, a little larger, and SF6."""
+    cube = lineitem_cube(spark, sf_dir)
+    only = lambda names: {k: v for k, v in cube.meta.variables.items() if k in names}
+    first = cube.with_df(cube.df.where("variable <> 'SF6'"), cube.meta.with_(variables=only(("CO2", "CH4"))))
+    second = cube.with_df(cube.df.where("variable <> 'CO2'").withColumn("value", F.col("value") * 1.004), cube.meta.with_(variables=only(("CH4", "SF6"))))
+    return cells(align.merge(first, second, tolerance=0.005))
+
+
 # --- units and baskets ------------------------------------------------------------------------------------------------
 
 
@@ -237,11 +265,19 @@ def gwp_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(gwp.convert_to_gwp(lineitem_cube(spark, sf_dir), "CH4", "AR6GWP100"), 6)
 
 
-@query(f"with {LINEITEM_SQL} select area, source, time, variable, round(value, 6) as value from cube")
+@query(f"with {LINEITEM_SQL} select area, source, time, variable, round(case when variable = 'SF6' then value * 1000 / 22800.0::double else value end, 9) as value from cube")
 def mass_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = gwp.convert_to_gwp(lineitem_cube(spark, sf_dir), "SF6", "AR4GWP100", "Mt CO2 / yr")
-    back = gwp.convert_to_mass(there, "SF6 (AR4GWP100)")
-    return cells(gwp.convert_unit(back, "SF6", "Gg SF6 / yr"), 6)
+    cube = lineitem_cube(spark, sf_dir)
+    variables = {k: v for k, v in cube.meta.variables.items() if k != "SF6"} | {"SF6 (AR4GWP100)": VariableMeta("SF6", "Mt CO2 / yr", "AR4GWP100")}
+    given = cube.df.withColumn("variable", F.when(F.col("variable") == "SF6", "SF6 (AR4GWP100)").otherwise(F.col("variable")))
+    mass = gwp.convert_to_mass(cube.with_df(given, cube.meta.with_(variables=variables)), "SF6 (AR4GWP100)")
+    return cells(gwp.convert_unit(mass, "SF6", "Gg SF6 / yr"), 9)
+
+
+@query(f"with {LINEITEM_SQL} select area, source, time, case variable when 'CH4' then 'CH4 (SARGWP100)' else variable end as variable, round(case when variable = 'CH4' then value * 21.0::double / 1000 else value end, 9) as value from cube")
+def gwp_convert_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = VariableMeta("SF6", "Mt CO2 / yr", "SARGWP100")
+    return cells(gwp.convert_to_gwp_like(lineitem_cube(spark, sf_dir), "CH4", like), 9)
 
 
 _AR4 = "case variable when 'CO2' then value when 'CH4' then value * 25.0::double else value * 22800.0::double end"
@@ -393,11 +429,35 @@ def compose_global_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(compose.compose(cube.with_df(cube.df.where(F.col("source").isin("1-URGENT", "2-HIGH"))), _URGENT, plan), 0)
 
 
-@query()
+_TREND = f"""{ORDERS_SQL}, two as (select * from cube where source in ('1-URGENT', '2-HIGH')),
+t as (select time, date_diff('day', date '1970-01-01', time)::double as d, row_number() over (order by time) as k from (select distinct time from two)),
+g as (
+  select s.*, t.*, y.value as y, x.value as x, count(y.value) over (partition by s.area, s.category, s.variable) as ny
+  from (select distinct area, category, variable from two) s cross join t left join (select * from two where source = '1-URGENT') y using (area, category, variable, time)
+    left join (select * from two where source = '2-HIGH') x using (area, category, variable, time)
+), m as (select *, k - row_number() over (partition by area, category, variable order by k) as island from g where y is null and ny > 0),
+gaps as (select area, category, variable, island, min(k) as k0, max(k) as k1, min(d) as d0, max(d) as d1, count(x) as nx from m group by all),
+sides as (select gaps.*, side, t.d as d2, t.time as t2 from gaps cross join (select unnest([-1, 1]) as side) join t on t.k = case side when -1 then k0 - 1 else k1 + 1 end),
+trends as (
+  select area, category, variable, island, side, avg(y) as y0, avg(x) as x0, case when count(y) >= 5 then regr_intercept(y, d - d2) else avg(y) end as y1, case when count(x) >= 5 then regr_intercept(x, d - d2) else avg(x) end as x1
+  from sides join g using (area, category, variable) where side = -1 and time between t2 - interval 9 month and t2 or side = 1 and time between t2 and t2 + interval 9 month group by all
+), ends as (
+  select area, category, variable, island, {", ".join(f"coalesce(max({v}) filter (side = {s}), max({v}) filter (side = {-s})) as {v}{n}" for v in ("y0", "x0", "y1", "x1") for s, n in ((-1, "l"), (1, "r")))} from trends group by all
+), factors as (
+  select area, category, variable, island, {", ".join(f"case when y{k}{n} = 0 then 0 when x{k}{n} <> 0 then y{k}{n} / x{k}{n} end as f{k}{n}" for k in "01" for n in "lr")} from ends
+), usable as (
+  select * from (select area, category, variable, island, case when f1l < 0 or f1r < 0 then f0l else f1l end as fl, case when f1l < 0 or f1r < 0 then f0r else f1r end as fr from factors) where fl >= 0 and fr >= 0
+), filled as (
+  select m.area, m.category, m.variable, m.time, x * (fl * (1 - w) + fr * w) as z
+  from (select m.*, d0, d1, case when d1 > d0 then (d - d0) / (d1 - d0) else 0.5 end as w from m join gaps using (area, category, variable, island) where nx > 0) m join usable using (area, category, variable, island)
+), h as (select g.*, z, count(z) over (partition by area, category, variable) as nz from g left join filled using (area, category, variable, time))"""
+
+
+@query(f"with {_TREND} select area, category, time, variable, round(coalesce(y, case when nz > 0 then z else x end)) as value from h where coalesce(y, case when nz > 0 then z else x end) is not null")
 def compose_local_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = StrategyDefinition([({}, strategies.LocalTrendsStrategy(strategies.FitParameters(trend_length_unit="MS"))), ({}, strategies.SubstitutionStrategy())])
     cube = orders_cube(spark, sf_dir)
-    return cells(compose.compose(cube.with_df(cube.df.where(F.col("source").isin("1-URGENT", "2-HIGH"))), _URGENT, plan), 3)
+    return cells(compose.compose(cube.with_df(cube.df.where(F.col("source").isin("1-URGENT", "2-HIGH"))), _URGENT, plan), 0)
 
 
 @query(f"with {LINEITEM_SQL} select area, time, variable, 'composed' as source, arg_min(value, source) as value from cube where source in ('F', 'O') and time between '1996-01-01' and '1999-12-31' and variable <> 'SF6' group by area, time, variable")
@@ -465,9 +525,76 @@ def harmonize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.harmonize_units(mixed).select("area", "source", "entity", "unit", "time", "value")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="fluxcube-")
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 @query(f"with {LINEITEM_SQL} select * from cube")
 def interchange_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(tables.to_cube(tables.from_cube(lineitem_cube(spark, sf_dir))))
+    """Through the two files of the interchange format; written twice, the bytes must agree."""
+    folder = Path(_shared(spark, "interchange").removeprefix("file://").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    data = tables.from_cube(lineitem_cube(spark, sf_dir))
+    interchange.write_interchange(folder / "first", data)
+    back = interchange.read_interchange(spark, folder / "first")
+    interchange.write_interchange(folder / "second", back)
+    if (folder / "first.csv").read_bytes() != (folder / "second.csv").read_bytes():
+        raise ValueError("the interchange files differ")
+    return cells(tables.to_cube(interchange.read_interchange(spark, folder / "second.yaml")))
+
+
+_CODED = """case when source = 'F' and year(time) = 1996 then 0.0 when source = 'O' and year(time) = 1997 then null else value end"""
+
+
+@query(f"with {LINEITEM_SQL} select area, source, time, variable as entity, 'Gg ' || variable || ' / yr' as unit, {_CODED} as value from cube where variable <> 'SF6' and {_CODED} is not null")
+def read_wide_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file with a column for each year, notation keys among the numbers."""
+    wide = wide_pivot(spark, sf_dir)
+    for year, source, key in ((1996, "F", "NO, IE"), (1997, "O", "NE")):
+        cell = F.col(f"`{year}`")
+        wide = wide.withColumn(str(year), F.when(cell.isNotNull() & (F.col("source") == source), key).otherwise(cell.cast("string")))
+    path = _shared(spark, "wide.csv")
+    wide.withColumn("unit", F.lit("Gg")).write.csv(path, header=True)
+    data = tables.read_wide_csv(
+        spark,
+        path,
+        coords_cols={"area": "area (NATION)", "entity": "entity", "unit": "unit", "source": "source"},
+        coords_terminologies={"area": "NATION"},
+        coords_value_mapping={"unit": "COMPACT"},
+        filter_remove={"f": {"entity": "SF6"}},
+    )
+    return data.df.where("value is not null").select("area", "source", "time", "entity", "unit", "value")
+
+
+@query(f"""with {LINEITEM_SQL} select area, source, time, variable as entity, 'Gg ' || variable || ' / yr' as unit, case variable when 'CO2' then 'energy' when 'CH4' then 'farms' else 'other' end as category, value
+from cube where time between '1995-01-01' and '1997-01-01'""")
+def read_long_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file with a row for each cell; categories are filled in by gas."""
+    path = _shared(spark, "long.csv")
+    cube = lineitem_cube(spark, sf_dir)
+    cube.df.select("area", "source", F.year("time").alias("year"), F.col("variable").alias("gas"), F.lit("Gg").alias("unit"), "value").where("year <= 1997 and year >= 1995").write.csv(path, header=True)
+    data = tables.read_long_csv(
+        spark,
+        path,
+        coords_cols={"area": "area", "entity": "gas", "unit": "unit", "source": "source", "time": "year", "data": "value"},
+        coords_terminologies={"area": "NATION"},
+        coords_defaults={"category": "other"},
+        coords_value_mapping={"unit": "COMPACT"},
+        coords_value_filling={"category": {"entity": {"CO2": "energy", "CH4": "farms"}}},
+    )
+    return data.df.select("area", "source", "time", "entity", "unit", "category", "value")
+
+
+@query("""select l_orderkey, l_linenumber, case l_returnflag when 'A' then 'KYOTOGHG (SARGWP100)' when 'N' then 'HFCS (AR5CCFGWP100)' else 'CH4' end as entity,
+  case l_linestatus when 'F' then 'kt CO2 / yr' else 't ' || case l_returnflag when 'A' then 'KYOTOGHG' when 'N' then 'HFCS' else 'CH4' end || ' / yr' end as unit from lineitem""")
+def map_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    entity = F.when(flag == "A", "KYOTOGHG").when(flag == "N", "HFCSAR5CCF").otherwise("CH4")
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", entity.alias("entity"), F.when(F.col("l_linestatus") == "F", "kt CO\u2082eq").otherwise("t").alias("unit"))
+    named = map_distinct(raw, ["entity"], ["entity"], entity_name)
+    return map_distinct(named, ["unit", "entity"], ["unit"], unit_name).select("l_orderkey", "l_linenumber", "entity", "unit")
 
 
 @query(f"with {LINEITEM_SQL} select area, variable as entity, 'Gg' as unit, '1997' as time, cast(cast(value as bigint) as varchar) as data from cube where year(time) = 1997 and source = 'O'")
@@ -480,16 +607,30 @@ def inventory_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LINEITEM_SQL} select * from cube where variable = 'CH4' and time >= '1998-01-01'")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="fluxcube-")
-    path = f"{root}/store-{uuid.uuid4().hex[:12]}"
+    path = _shared(spark, "store")
     store.save_cube(lineitem_cube(spark, sf_dir), path)
     back = store.open_cube(spark, path).variable("CH4")
     return cells(select.loc(back, {"time": slice("1998", None)}))
 
 
-@query(f"with {LINEITEM_SQL} select 0::bigint as nan_values, 0::bigint as unknown_variables, 0::bigint as duplicate_cells, 0::bigint as missing_times, 0::bigint as bad_provenance from (select count(*) from cube)")
+@query(f"""with {LINEITEM_SQL}, faulty as (
+  select case area when 'NATION_3' then 'guess' else 'measured' end as provenance, area, source, case area when 'NATION_2' then null else time end as time,
+    case when variable = 'SF6' and source = 'O' then 'XX' else variable end as variable, case when cast(value as bigint) % 10 = 3 then 'nan'::double else value end as value, area = 'NATION_1' as again
+  from cube
+), c as (select provenance, area, source, time, variable, sum(1 + again::int) as n, sum((1 + again::int) * isnan(value)::int) as nan from faulty group by all)
+select cast(sum(nan) as bigint) as nan_values, count(*) filter (variable = 'XX') as unknown_variables, count(*) filter (n > 1) as duplicate_cells, count(*) filter (time is null) as missing_times,
+  count(*) filter (provenance = 'guess') as bad_provenance from c""")
 def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.row_report(lineitem_cube(spark, sf_dir))
+    """A cube with faults of every kind."""
+    cube = select.expand_dims(lineitem_cube(spark, sf_dir), "provenance", "measured")
+    faults = {
+        "value": F.when(F.col("value").cast("long") % 10 == 3, float("nan")).otherwise(F.col("value")),
+        "variable": F.when((F.col("variable") == "SF6") & (F.col("source") == "O"), "XX").otherwise(F.col("variable")),
+        "provenance": F.when(F.col("area") == "NATION_3", "guess").otherwise(F.col("provenance")),
+        "time": F.when(F.col("area") != "NATION_2", F.col("time")),
+    }
+    df = cube.df.withColumns(faults)
+    return validate.row_report(cube.with_df(df.union(df.where("area = 'NATION_1'"))))
 
 
 @query("select event_type, cast(ts as date) as time, cast(sum(cast(floor(value) as bigint)) as bigint) as value, count(*) as n from events group by all")

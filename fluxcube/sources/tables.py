@@ -246,8 +246,11 @@ def to_wide(data: Interchange, times: Sequence[datetime.date] | None = None) ->
     return wide.select(*[F.col(c).alias(data.dimensions.get(c, c)) for c in ids], *labels).orderBy(*[F.col(f"`{data.dimensions.get(c, c)}`") for c in ids])
 
 
-def to_cube(data: Interchange) -> Cube:
-    """The cube of an interchange frame. Raises if an entity has several units or an additional coordinate is ambiguous."""
+def to_cube(data: Interchange, max_array_size: int | None = None) -> Cube:
+    """The cube of an interchange frame. Raises if an entity has several units or an additional coordinate is ambiguous, and
+    if the same cube as a dense array would have more than `max_array_size` cells; the cube itself holds cells with data only."""
+    if max_array_size is not None and (cells := expected_cells(data)) > max_array_size:
+        raise CubeError(f"A dense array would have {cells} cells, more than {max_array_size}.")
     units = data.df.groupBy("entity").agg(F.collect_set("unit").alias("units")).collect()  # one row for each entity
     several = {r["entity"]: sorted(r["units"]) for r in units if len(r["units"]) > 1}
     if several:
