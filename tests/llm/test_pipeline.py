@@ -24,7 +24,7 @@ def documents():
 
 
 def mixed(docs):
-    """The mix of (doc_id, text, source) in plain Python: texts by doc_id."""
+    """The mix of (doc_id, text, source) in plain Python: (position, doc_id, epoch, text) in training order."""
     size = {k: len(re.findall(WORD, t)) for k, t, _ in docs}
     by_source = defaultdict(list)
     for k, t, s in docs:
@@ -43,19 +43,21 @@ def mixed(docs):
             left -= target[s]
         free -= over
     target |= {s: level * weight[s] for s in free}
-    out = defaultdict(list)
-    for s in names:
+    out = []
+    for i, s in enumerate(names):
+        rate0, rate1 = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))[i % 3]
         goal = int(np.floor(target[s] + 0.5))
         full, rest = divmod(goal, total[s])
+        begin = 0
         for k, t in sorted(by_source[s], key=lambda d: hashlib.md5(str(d[0]).encode()).hexdigest()):
-            out[k] += [t] * full
-            take = max(0, min(size[k], rest))
-            rest -= take
-            if take == size[k]:
-                out[k].append(t)
-            elif take:
-                out[k].append(" ".join(re.findall(WORD, t)[:take]))
-    return out
+            take = max(0, min(size[k], rest - begin))
+            copies = [t] * full + ([t] if take == size[k] else [" ".join(re.findall(WORD, t)[:take])] if take else [])
+            for epoch, copy in enumerate(copies):
+                need = (epoch * total[s] + begin) / goal * (rate0 + rate1) / 2
+                slope = rate1 - rate0
+                out.append((need / rate0 if slope == 0 else (np.sqrt(rate0 * rate0 + 2 * slope * need) - rate0) / slope, k, epoch, copy))
+            begin += size[k]
+    return sorted(out, key=lambda c: c[:3])
 
 
 def test_pipeline_agrees_with_plain_python(spark, tmp_path):
@@ -75,12 +77,11 @@ def test_pipeline_agrees_with_plain_python(spark, tmp_path):
     docs = {k: r for k, r in docs.items() if k not in {d for d, _ in leaks}}
     assert {300, 301} <= {d for d, _ in leaks}
     tokenizer, at, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
-    for k, texts in sorted(mixed([(k, r[1], r[3]) for k, r in docs.items()]).items()):
-        for t in sorted(texts):
-            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
-            want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-            at += len(ids)
-    assert got == want
+    for _, k, _, t in mixed([(k, r[1], r[3]) for k, r in docs.items()]):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and [r[0] for r in got] != sorted(r[0] for r in got)
 
 
 def test_stages_keep_columns_and_bear_odd_tables(spark, tmp_path):
@@ -94,23 +95,16 @@ def test_stages_keep_columns_and_bear_odd_tables(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
 
 
-def test_curriculum_takes_effect(spark, tmp_path):
-    rows = [(k if k % 9 else None, prose(("de", "en", "es")[k % 3], 30 + k, k), "en", f"s{k % 3}", 0) for k in range(60)]
-    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(list(ITEMS.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    by_id = sorted((tuple(r)[::2], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is not null").collect())
-    got = corpus_pipeline.run(spark, str(tmp_path), training_order=True).orderBy("start").collect()
-    assert sorted((tuple(r)[::2], r["ids_crc32"]) for r in got if r["doc_id"] is not None) == by_id
-    assert {r[1] for r in rows if r[0] is None} and sum(r["doc_id"] is None for r in got) >= 7
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.IN_TRAINING_ORDER[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-    order = [r["doc_id"] for r in docs.orderBy(corpus_pipeline.POSITION, "doc_id").collect()]
-    assert [r["doc_id"] for r in got] == order and order != sorted(order, key=lambda x: (x is not None, x))
-    at = 0
-    for r in got:
-        assert r["start"] == at
-        at += r["n_tokens"]
+def test_token_output_follows_the_files_or_the_ids(spark, tmp_path):
+    rows = [(k if k % 9 else None, prose("en", 30 + k, k), "en", f"s{k % 3}", 0) for k in range(60)][::-1]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    by_id = corpus_pipeline.write_tokens(spark, df, "").orderBy("start").collect()
+    assert [r["doc_id"] for r in by_id] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    df.repartition(3, "doc_id").sortWithinPartitions("text").write.parquet(str(tmp_path / "docs"))
+    files = sorted((tmp_path / "docs").glob("part-*.parquet"))
+    assert len(files) == 3
+    order = [r["doc_id"] for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert [r["doc_id"] for r in corpus_pipeline.write_tokens(spark, spark.read.parquet(str(tmp_path / "docs")), "").orderBy("start").collect()] == order
 
 
 @pytest.mark.parametrize("name", ["op4_chat_format", "op10_source_mix"])
