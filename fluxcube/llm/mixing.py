@@ -76,8 +76,12 @@ def plan_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFrame
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"), mark.alias("mark"), F.substring(mark, 1, BUCKET_DIGITS).alias("bucket"))
     buckets = materialize(rows.groupBy("source", "key", "bucket").agg(F.sum("size").alias("size")), "mix_buckets")
     targets = source_targets(buckets, share, cap)
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.select("source", "key", "bucket", before.alias("bucket_start"))
+    # sums of sums: first over groups of buckets, then within a group, so that no task meets all buckets of a source
+    so_far = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = buckets.select("source", "key", "bucket", "size", F.substring("bucket", 1, BUCKET_DIGITS // 2).alias("group"))
+    groups = grouped.groupBy("key", "group").agg(F.sum("size").alias("sum")).withColumn("order", F.col("group")).select("key", "group", so_far("sum", "key").alias("group_start"))
+    inside = grouped.withColumn("order", F.col("bucket")).select("source", "key", "bucket", "group", so_far("size", "key", "group").alias("in_group"))
+    starts = inside.join(groups.hint("merge"), ["key", "group"]).select("source", "key", "bucket", (F.col("group_start") + F.col("in_group")).alias("bucket_start"))
     starts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.key", "b.bucket", "bucket_start", "source_size", "target", "rate0", "rate1")
     starts = materialize(starts, "mix_starts")
     within = Window.partitionBy("key", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
