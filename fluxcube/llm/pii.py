@@ -455,7 +455,8 @@ def train(rounds: int = 160, rate: float = 0.08, decay: float = 0.005, margin: f
 def find_spans(docs: DataFrame) -> DataFrame:
     """`docs(doc_id, text, ...)` -> `doc_id, spans array<struct<kind, start, end>>`, in code points, end exclusive.
 
-    Spans come by kind (email, ip, card, phone, then the field's name, id_number and secret), then by start. Null and empty
+    Spans come by kind (email, ip, card, phone, then the field's name, id_number and secret), then by start. What the
+    field finds where a pattern has matched is left out. Null and empty
     texts have none; a row for each row, repeated ones and those without an id too; other columns are not read. Texts
     and words are read whole, however long; patterns and field take time linear in the text.
     """
@@ -470,6 +471,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
             for text, added in zip(texts, found_by.spans(texts)):
                 base = pattern_spans(text)
                 spans = [{"kind": k, "start": a, "end": b} for k in KINDS for a, b in base[k]]
+                added = [s for s in added if not any(s[1] < p["end"] and p["start"] < s[2] for p in spans)]
                 rows.append(spans + [{"kind": k, "start": a, "end": b} for k, a, b in sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
