@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -15,6 +16,8 @@ from fluxcube.operators.align import set_values
 from fluxcube.operators.gwp import _basket_meta, factors_to, scaled_by_variable
 from fluxcube.operators.select import condition, select_no_scalar_dimension
 
+log = logging.getLogger(__name__)
+
 
 class DownscalingError(ValueError):
     """Total and parts don't fit together."""
@@ -155,6 +158,8 @@ def downscale_timeseries_by_shares(cube: Cube, dim: str, basket: str, basket_con
     out = totals.alias("t").join(shares.alias("s"), cond).select(*[F.col(f"s.{k}" if k == dim else f"t.{k}").alias(k) for k in cube.keys], (F.col("t.value") * F.col("s.share")).alias("value"))
     if "variable" in rest:
         present = {r[0] for r in weights.select("variable").distinct().collect()}
+        if gone := sorted(set(cube.meta.variables) - present):
+            log.warning("variables without shares are dropped: %s", gone)
         cube = cube.variable(*[v for v in cube.meta.variables if v in present])
     if not out.limit(1).count():
         raise DownscalingError("Totals and shares have no cell in common.")

@@ -65,11 +65,15 @@ def _labels(selector: Any) -> list:
     return list(selector) if isinstance(selector, (list, tuple, set, frozenset)) else [selector]
 
 
-def loc(cube: Cube, selection: Mapping[str, Any], check: bool = True) -> Cube:
+def loc(cube: Cube, selection: Mapping[str, Any], check: bool = True, strict: bool = False) -> Cube:
     """Cells with these labels. A scalar drops its dimension, a list, slice or `Not` keeps it.
 
-    With `check`, labels that the cube does not hold raise KeyError where the domain is known (see `Cube.with_domains`).
+    With `check`, labels that the cube does not hold raise KeyError where the domain is known (see `Cube.with_domains`);
+    `strict` learns domains that aren't, which runs one action, so that such labels always raise.
     """
+    if strict:
+        named = [d for d in (cube.meta.resolve(k) for k, v in selection.items() if _labels(v)) if d != "time"]
+        cube = cube.with_domains(*named) if named else cube
     meta, df, dropped = cube.meta, cube.df, []
     for name, selector in selection.items():
         dim = meta.resolve(name)

@@ -20,7 +20,7 @@ from fluxcube.plans import compose, strategies
 from fluxcube.plans.definitions import PriorityDefinition, StrategyDefinition
 from fluxcube.sources import interchange, inventory, store, tables
 from fluxcube.sources.views import EVENTS_SQL, LINEITEM_SQL, ORDERS_SQL, events_cube, lineitem_cube, orders_cube, table
-from fluxcube.streaming.ingest import windowed_totals
+from fluxcube.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -635,8 +635,14 @@ def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, cast(ts as date) as time, cast(sum(cast(floor(value) as bigint)) as bigint) as value, count(*) as n from events group by all")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("long"))
-    return windowed_totals(events, "ts", "v", ["event_type"])
+    """The events as a stream of four files in any order, so none may be too late; late ones change windows that were written before."""
+    folder, path = _shared(spark, "events"), _shared(spark, "totals")
+    events = table(spark, sf_dir, "events").select("event_type", "ts", F.floor("value").cast("long").alias("v"))
+    events.repartitionByRange(4, "ts").write.parquet(folder)
+    stream = ingest.read_events(spark, folder, "event_type string, ts timestamp, v long", files_per_trigger=1)
+    totals = ingest.windowed_totals(stream, "ts", "v", ["event_type"], late="3650 days")
+    ingest.upsert_into(totals, path, _shared(spark, "checkpoint")).awaitTermination()
+    return ingest.read_upserts(spark, path, "event_type string, time date, value long, n long", ["event_type"])
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,3 +27,21 @@ def stream_into(totals: DataFrame, path: str, checkpoint: str, available_now: bo
 
 def read_events(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def upsert_into(totals: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write each batch's changed windows to a folder of its own, `batch=<number>`: a batch that is repeated after a failure
+    replaces its folder, so every change is there once. `read_upserts` gives the windows as they stand, open ones too."""
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = totals.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_upserts(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
+    """Of each key and window the row of the last batch that changed it."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    last = Window.partitionBy(*keys, "time").orderBy(F.col("batch").desc())
+    return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "batch")

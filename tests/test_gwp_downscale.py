@@ -113,6 +113,13 @@ def test_downscaling_by_shares(spark):
         downscale.downscale_timeseries_by_shares(cube, "area", "CAMB", ["COL"], shares.where("source = 'X'"))
 
 
+def test_variables_without_shares_are_named(spark, caplog):
+    cube = make(spark, [("ALL", "S", 2000, g, 10.0) for g in ("CO2", "CH4")])
+    shares = spark.createDataFrame([("COL", "CO2", 1.0), ("BOL", "CO2", 3.0)], "area string, variable string, value double")
+    got = values(downscale.downscale_timeseries_by_shares(cube, "area", "ALL", ["COL", "BOL"], shares), "area", "variable")
+    assert got == {("ALL", "CO2"): 10, ("COL", "CO2"): 2.5, ("BOL", "CO2"): 7.5} and "CH4" in caplog.text
+
+
 def test_formulas(tmp_path):
     assert parse_formula("2.B + 2.E") == {"2.B": 1, "2.E": 1} and parse_formula("-3+4") == {"3": -1, "4": 1} and parse_formula("2*1.A - 5") == {"1.A": 2, "5": -1}
     assert category_name({"3": -1, "4": 1}) == "A_(-3+4)"

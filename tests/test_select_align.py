@@ -21,6 +21,10 @@ def test_loc(spark):
     assert set(values(select.loc(c, {"area": Not(["BOL", "ARG"])}), "area")) == {"COL"}
     with pytest.raises(KeyError):
         select.loc(c.with_domains(), {"area": Not("XXX")})
+    for wrong in ("XXX", ["ARG", "XXX"], Not("XXX")):
+        with pytest.raises(KeyError):
+            select.loc(c, {"area": wrong}, strict=True)
+    assert set(values(select.loc(c, {"area": Not("BOL"), "time": slice("2003", None)}, strict=True), "area")) == {"ARG", "COL"}
     with pytest.raises(DimensionNotExistingError):
         select.loc(c, {"category": "1"})
     with pytest.raises(CubeError, match="doesn't match"):

@@ -143,3 +143,16 @@ def test_stream(spark, tmp_path):
     ingest.stream_into(ingest.windowed_totals(events, "ts", "v", ["k"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r["k"], r["time"].isoformat()): r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", "2024-01-01"): 3, ("b", "2024-01-02"): 5}  # February's window is still open
+
+
+def test_stream_with_late_events(spark, tmp_path):
+    t = datetime.datetime
+    schema = "k string, ts timestamp, v long"
+    batches = [[("a", t(2024, 1, 1, 5), 1), ("b", t(2024, 1, 2), 5)], [("a", t(2024, 1, 9), 9)], [("a", t(2024, 1, 1, 20), 2)]]
+    for k, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        totals = ingest.windowed_totals(ingest.read_events(spark, str(tmp_path / "in"), schema), "ts", "v", ["k"], late="30 days")
+        ingest.upsert_into(totals, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)  # started again, it goes on
+    rows_ = ingest.read_upserts(spark, str(tmp_path / "out"), "k string, time date, value long, n long", ["k"]).collect()
+    assert {(r["k"], r["time"].isoformat()): (r["value"], r["n"]) for r in rows_} == {("a", "2024-01-01"): (3, 2), ("b", "2024-01-02"): (5, 1), ("a", "2024-01-09"): (9, 1)}
+    assert len(rows_) == 3
